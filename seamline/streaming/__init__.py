@@ -1,0 +1 @@
+"""Empty on purpose: indexing is one incremental batch per run, nothing streams."""
