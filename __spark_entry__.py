@@ -18,11 +18,13 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import oracle
+import seamline
 from seamline.fixed_values import MAX_TOKENS
 from seamline.functions.embedding import embed_documents, hashing_model
 from seamline.functions.paths import extension, language
@@ -43,6 +45,9 @@ from seamline.sources.store import IndexStore
 from seamline.sources.table import TableSource
 from seamline.work import spread, work_folder, written
 
+# Tasks get the package with their functions: it need not be installed for them.
+cloudpickle.register_pickle_by_value(seamline)
+
 TEST_DIMS = (64, 32, 16, 8)
 TEXT_DIM = 256
 STORE_DIM = 128
@@ -55,13 +60,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the queries that embed: a small table is dealt out to all cores."""
+    return spread(documents(spark, sf_dir), "doc_id")
 
 
 def embeddings(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
     """vector_id, embedding (unit, cut to `dim`), label."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "vector_id")
-    return cut_vectors(spread(table, "vector_id"), dim, TEST_DIMS)
+    return cut_vectors(table, dim, TEST_DIMS)
 
 
 def as_queries(vectors: DataFrame) -> DataFrame:
@@ -185,10 +195,9 @@ def decode_lines(spark, sf_dir):
     docs = documents(spark, sf_dir).withColumn(
         "content", F.concat(F.unhex(F.lit("FF")), encoded, F.unhex(F.lit("E282")))
     )
-    text = unix_newlines(decode_utf8(F.col("content")))
-    return docs.select("doc_id", F.posexplode(split_lines(text)).alias("at", "line")).select(
-        "doc_id", (F.col("at") + 1).alias("line_no"), "line"
-    )
+    texts = docs.select("doc_id", unix_newlines(decode_utf8(F.col("content"))).alias("text"))
+    lines = texts.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
+    return lines.select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def chunk_documents(spark, sf_dir):
@@ -218,7 +227,7 @@ def line_range(spark, sf_dir):
 
 
 def embed_hash(spark, sf_dir):
-    chunks = document_chunks(documents(spark, sf_dir), 8, 2)
+    chunks = document_chunks(spread_documents(spark, sf_dir), 8, 2)
     vector = embed_documents(F.col("text"), hashing_model(TEXT_DIM), TEXT_DIM)
     return chunks.select("doc_id", "chunk_no", vector.alias("v")).select(
         "doc_id", "chunk_no", sparse_components(F.col("v")).alias("vector")
@@ -227,7 +236,7 @@ def embed_hash(spark, sf_dir):
 
 def embed_token_limit(spark, sf_dir):
     """The length limit of the default model, on the longest chunks there are."""
-    chunks = document_chunks(documents(spark, sf_dir), 1 << 20, 16)
+    chunks = document_chunks(spread_documents(spark, sf_dir), 1 << 20, 16)
     vector = embed_documents(F.col("text"), hashing_model(TEXT_DIM, MAX_TOKENS), TEXT_DIM)
     return chunks.select("doc_id", "chunk_no", vector.alias("v")).select(
         "doc_id", "chunk_no", sparse_components(F.col("v")).alias("vector")
@@ -422,7 +431,7 @@ def text_queries(spark, sf_dir) -> DataFrame:
 
 
 def search_text(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs = spread_documents(spark, sf_dir)
     results = search_chunks(
         text_queries(spark, sf_dir), identified_chunks(docs), manifest(docs), TEXT_DIM, K
     )
@@ -434,7 +443,7 @@ def search_text(spark, sf_dir):
 
 def two_runs(spark, sf_dir) -> IndexStore:
     """An index of the stored state, then brought up to the current one."""
-    docs = documents(spark, sf_dir)
+    docs = spread_documents(spark, sf_dir)
     params = IndexParams(embedding_dim=STORE_DIM, chunk_size_lines=8, chunk_overlap_lines=2)
     store = IndexStore(spark, work_folder(spark)).create(params)
     index_files(store, TableSource(stored_state(docs)))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,21 @@ _WORD = re.compile("[a-z0-9_]+")
 _CACHE_WORDS = 500_000
 
 
+class _WordPlaces(dict):
+    """Word to bucket, plus `dim` for a negative sign; filled on first use."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        turn, bucket = divmod(int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big"), self.dim)
+        place = self[word] = bucket + self.dim * (turn % 2)
+        return place
+
+
 def hashing_model(dim: int, max_tokens: int | None = None) -> Callable[[], Model]:
     """Factory of a model that adds up signed word buckets; needs no weights.
 
@@ -28,28 +43,18 @@ def hashing_model(dim: int, max_tokens: int | None = None) -> Callable[[], Model
     """
 
     def load() -> Model:
-        known: dict[str, tuple[int, int]] = {}
-
-        def place(word: str) -> tuple[int, int]:
-            if word not in known:
-                if len(known) >= _CACHE_WORDS:
-                    known.clear()
-                turn, bucket = divmod(
-                    int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big"), dim
-                )
-                known[word] = (bucket, -1 if turn % 2 else 1)
-            return known[word]
+        places = _WordPlaces(dim)
 
         def embed(texts: list[str]) -> np.ndarray:
-            sums = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                words = _WORD.findall(text.lower())
-                if max_tokens is not None:
-                    words = words[:max_tokens]
-                for word, n in Counter(words).items():
-                    bucket, sign = place(word)
-                    sums[row, bucket] += sign * n
-            return sums
+            found = [
+                list(map(places.__getitem__, _WORD.findall(text.lower())[:max_tokens]))
+                for text in texts
+            ]
+            rows = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+            flat = np.fromiter(chain.from_iterable(found), np.int64, len(rows))
+            sums = np.bincount(rows * (2 * dim) + flat, minlength=len(texts) * 2 * dim)
+            plus_minus = sums.reshape(len(texts), 2, dim)
+            return plus_minus[:, 0] - plus_minus[:, 1]
 
         return embed
 

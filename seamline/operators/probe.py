@@ -14,6 +14,7 @@ from seamline.functions.vectors import l2_normalise
 from seamline.operators.topk import (
     Best, check_k, column, hits_schema, matrix, merge_top_k, per_query_block, rows_per_block, top_k,
 )
+from seamline.work import literal_rows
 
 _PRUNE_LISTS = 1000
 
@@ -72,7 +73,7 @@ def top_k_probe(
     check_k(k)
     hits_type = hits_schema(queries)
     if k == 0 or n_probe < 1:
-        return queries.sparkSession.createDataFrame([], hits_type)
+        return literal_rows(queries.sparkSession, hits_type)
     as_vectors = centroids.select(F.col("list_id").alias("vector_id"), "embedding")
     probes = top_k(queries, as_vectors, n_probe, dim).groupBy("query_id").agg(
         F.sort_array(F.collect_list("vector_id")).alias("lists")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seamline.functions.vectors import inner_product
-from seamline.work import work_folder, written
+from seamline.work import literal_rows, work_folder, written
 
 BLOCK_ROWS = 8192
 BLOCK_BYTES = 64 << 20
@@ -79,7 +79,7 @@ def top_k(
     vectors = vectors.select("vector_id", "embedding")
     hits_type = hits_schema(queries)
     if k == 0:
-        return queries.sparkSession.createDataFrame([], hits_type)
+        return literal_rows(queries.sparkSession, hits_type)
     rows = rows_per_block(dim, block_rows, block_bytes)
     if queries.count() > rows and vectors.count() <= rows:
         return _stream_queries(queries, vectors.toArrow(), k, dim, hits_type)

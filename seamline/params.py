@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from seamline import fixed_values as fixed
+from seamline.work import literal_rows
 
 _SCHEMA = (
     "model_name string, embedding_dim int, include_extensions array<string>, "
@@ -50,7 +51,7 @@ class IndexParams:
 def save_params(spark: SparkSession, params: IndexParams, path: str) -> None:
     row = dataclasses.asdict(params)
     row["include_extensions"] = list(params.include_extensions)
-    spark.createDataFrame([row], _SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+    literal_rows(spark, _SCHEMA, row).write.mode("overwrite").json(path)
 
 
 def load_params(spark: SparkSession, path: str) -> IndexParams:

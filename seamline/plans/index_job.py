@@ -16,7 +16,7 @@ from seamline.operators.ids import assign_vector_ids
 from seamline.sources.store import COUNTERS, IndexStore
 from seamline.sources.table import TableSource
 from seamline.sources.tree import TreeSource
-from seamline.work import written
+from seamline.work import literal_rows, written
 
 _CHUNKS_PER_TASK = 50_000
 
@@ -53,7 +53,7 @@ def index_files(
     wanted = [c for c in ("path", "size") if c in compared.columns]
     touched = written(compared.where(F.col("state").isin("new", "updated")).select(*wanted))
     counted = count_chunks(source.read_all(touched), size, overlap).select("path", "n_chunks")
-    plan = written(decide(compared.join(written(counted), "path", "left"), F.col("n_chunks")))
+    plan = written(decide(compared.join(counted, "path", "left"), F.col("n_chunks")))
     dropped = F.coalesce(
         F.sum(F.when(F.col("drop_old"), F.col("old_n_chunks"))), F.lit(0)
     ).alias("dropped_chunks")
@@ -75,13 +75,13 @@ def index_files(
             run_id,
         )
     else:
-        placed = spark.createDataFrame([], "path string, first_vector_id bigint")
+        placed = literal_rows(spark, "path string, first_vector_id bigint")
     if changed:
         if totals["dropped_chunks"]:
             store.write_dead(dead_ids(plan), run_id)
         store.write_files(next_manifest(plan, placed, run_id), run_id)
     store.commit(run_id, run_id if changed else before.snapshot, first_id + n_chunks, dim, result)
-    return spark.createDataFrame([result], ", ".join(f"{name} bigint" for name in COUNTERS))
+    return literal_rows(spark, ", ".join(f"{name} bigint" for name in COUNTERS), result)
 
 
 def _write_chunks(

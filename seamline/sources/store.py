@@ -18,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.params import IndexParams, load_params, save_params
+from seamline.work import literal_rows
 
 FILES = (
     "path string, mtime double, language string, file_version bigint, "
@@ -51,12 +52,10 @@ class IndexStore:
         save_params(self.spark, params, f"{self.path}/params")
         if not self._runs():
             for table, schema in (("chunks", CHUNKS), ("vectors", VECTORS), ("dead", DEAD)):
-                empty = self.spark.createDataFrame([], schema).drop("file_version", "id_block")
+                empty = literal_rows(self.spark, schema).drop("file_version", "id_block")
                 inner = "/id_block=0" if table == "chunks" else ""
                 empty.write.mode("overwrite").parquet(f"{self.path}/{table}/file_version=0{inner}")
-            self.spark.createDataFrame([], FILES).write.mode("overwrite").parquet(
-                f"{self.path}/files/snapshot=0"
-            )
+            self.write_files(literal_rows(self.spark, FILES), 0)
             self._add_run(run_id=0, state="committed", snapshot=0, next_vector_id=0)
         return self
 
@@ -74,9 +73,7 @@ class IndexStore:
             raise
 
     def _add_run(self, **row) -> None:
-        self.spark.createDataFrame([row], _RUNS).coalesce(1).write.mode("append").json(
-            f"{self.path}/runs"
-        )
+        literal_rows(self.spark, _RUNS, row).write.mode("append").json(f"{self.path}/runs")
 
     def committed(self) -> list:
         rows = [r for r in self._runs() if r.state == "committed"]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seamline.fixed_values import EXCLUDED_FOLDERS, INCLUDE_EXTENSIONS
 from seamline.operators.files import keep_files
 from seamline.operators.ids import in_id_order
-from seamline.work import work_folder, written
+from seamline.work import literal_rows, work_folder, written
 
 _ENTRY = "path string, is_folder boolean, mtime double, size bigint"
 _ENTRY_ARROW = pa.schema(
@@ -52,7 +52,7 @@ class TreeSource:
         listing = _folder_lister(self.root, self.excluded)
         spread = self.spark.sparkContext.defaultParallelism * 4
         level, n_folders = 0, 1
-        folders = self.spark.createDataFrame([("",)], "path string")
+        folders = literal_rows(self.spark, "path string", {"path": ""})
         while n_folders:
             tasks = min(n_folders, max(spread, n_folders // 1000))
             entries = written(

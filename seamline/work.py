@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -40,3 +40,18 @@ def spread(table: DataFrame, key: str) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
+
+
+def literal_rows(spark: SparkSession, schema: str, *rows: dict) -> DataFrame:
+    """A few rows of literals, or none; missing values are null."""
+    fields = T.StructType.fromDDL(schema)
+
+    def literal(row: dict, field: T.StructField):
+        return F.lit(row.get(field.name)).cast(field.dataType).alias(field.name)
+
+    made = [spark.range(1).select(*[literal(row, f) for f in fields]) for row in rows]
+    made = made or [spark.range(0).select(*[literal({}, f) for f in fields])]
+    result = made[0]
+    for more in made[1:]:
+        result = result.unionAll(more)
+    return result.coalesce(1)
