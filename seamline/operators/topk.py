@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from seamline.work import literal_rows, work_folder, written
 
 BLOCK_ROWS = 8192
 BLOCK_BYTES = 64 << 20
+BROADCAST_IDS = 1_000_000
 _GRID = 1e6
 _TILE = 4 << 20
 _PAIRS = 1 << 16
@@ -88,6 +90,47 @@ def top_k(
     )
 
 
+def top_k_without(
+    queries: DataFrame,
+    vectors: DataFrame,
+    dead: DataFrame,
+    n_dead: int,
+    k: int,
+    dim: int,
+    broadcast_ids: int = BROADCAST_IDS,
+) -> DataFrame:
+    """`top_k` over the vectors whose id is not in `dead` (n_dead distinct ids).
+
+    Up to `broadcast_ids` the dead are sent to the tasks and dropped as vectors
+    are read. A longer list would make that join shuffle every embedding; then
+    more than k are ranked and the dead are dropped from the few hits, again
+    with four times as many for queries that are left with too few. A query is
+    done when k live hits remain or when every vector has been ranked, so both
+    ways give the same rows.
+    """
+    check_k(k)
+    if n_dead == 0:
+        return top_k(queries, vectors, k, dim)
+    if n_dead <= broadcast_ids:
+        live = vectors.join(F.broadcast(dead.select("vector_id")), "vector_id", "left_anti")
+        return top_k(queries, live, k, dim)
+    folder, ranked, left, results = work_folder(queries.sparkSession), 2 * k, queries, []
+    while True:
+        number = len(results)
+        hits = written(top_k(left, vectors, ranked, dim), f"{folder}/hits={number}")
+        live = hits.join(dead.select("vector_id"), "vector_id", "left_anti")
+        best = written(merge_top_k(live, k), f"{folder}/best={number}")
+        kept = best.groupBy("query_id").agg(F.count("*").alias("kept"))
+        seen = hits.groupBy("query_id").agg(F.count("*").alias("seen")).join(kept, "query_id", "left")
+        short = (F.col("seen") == ranked) & (F.coalesce("kept", F.lit(0)) < k)
+        again = written(seen.where(short).select("query_id"), f"{folder}/again={number}")
+        results.append(best.join(again, "query_id", "left_anti"))
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, results)
+        left = written(left.join(again, "query_id", "left_semi"), f"{folder}/queries={number}")
+        ranked *= 4
+
+
 def hits_schema(queries: DataFrame) -> str:
     id_type = queries.schema["query_id"].dataType.simpleString()
     return f"query_id {id_type}, rank int, vector_id bigint, score double"

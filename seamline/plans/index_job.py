@@ -80,7 +80,10 @@ def index_files(
         if totals["dropped_chunks"]:
             store.write_dead(dead_ids(plan), run_id)
         store.write_files(next_manifest(plan, placed, run_id), run_id)
-    store.commit(run_id, run_id if changed else before.snapshot, first_id + n_chunks, dim, result)
+    store.commit(
+        run_id, snapshot=run_id if changed else before.snapshot, next_vector_id=first_id + n_chunks,
+        embedding_dim=dim, dead_ids=totals["dropped_chunks"], **result,
+    )
     return literal_rows(spark, ", ".join(f"{name} bigint" for name in COUNTERS), result)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from seamline.fixed_values import BATCH_SIZE, TOP_K
 from seamline.functions.embedding import Model, embed_documents, embed_queries, hashing_model
 from seamline.operators.hits import attach_content, hydrate, result_rows, with_chunks, with_files
-from seamline.operators.topk import check_k, top_k
+from seamline.operators.topk import check_k, top_k, top_k_without
 from seamline.sources.store import IndexStore
 from seamline.sources.table import TableSource
 from seamline.sources.tree import TreeSource
@@ -39,8 +39,11 @@ def search_index(
     if store.stored_dim() not in (None, dim):
         raise ValueError(f"stored vectors have {store.stored_dim()} components, not {dim}")
     embedded = _embed(queries, load_model or hashing_model(dim), dim, batch_size)
-    vectors = store.live_vectors() if slots == "live" else store.vectors()
-    hits = written(top_k(embedded, vectors, k, dim))
+    if slots == "all":
+        hits = top_k(embedded, store.vectors(), k, dim)
+    else:
+        hits = top_k_without(embedded, store.vectors(), store.dead(), store.n_dead(), k, dim)
+    hits = written(hits)
     # Written: from its size on disk the planner sees that it can be broadcast.
     found = written(with_chunks(hits, store.chunks_of(hits)))
     found = with_files(found, store.files())

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seamline.operators.vectors import delete_vectors
 from seamline.params import IndexParams, load_params, save_params
 from seamline.work import literal_rows
 
@@ -33,7 +34,7 @@ DEAD = "vector_id bigint, file_version bigint"
 COUNTERS = ("new_files", "updated_files", "skipped_files", "deleted_files", "total_chunks")
 _RUNS = (
     "run_id bigint, state string, snapshot bigint, next_vector_id bigint, embedding_dim int, "
-    + ", ".join(f"{name} bigint" for name in COUNTERS)
+    "dead_ids bigint, " + ", ".join(f"{name} bigint" for name in COUNTERS)
 )
 ID_BLOCK = 1 << 22
 _PRUNE_BLOCKS = 1000
@@ -94,11 +95,9 @@ class IndexStore:
     def reserve_ids(self, run_id: int, next_vector_id: int) -> None:
         self._add_run(run_id=run_id, state="reserved", next_vector_id=next_vector_id)
 
-    def commit(self, run_id: int, snapshot: int, next_vector_id: int, dim: int, counters: dict) -> None:
-        self._add_run(
-            run_id=run_id, state="committed", snapshot=snapshot, next_vector_id=next_vector_id,
-            embedding_dim=dim, **counters,
-        )
+    def commit(self, run_id: int, **facts) -> None:
+        """`facts`: snapshot, next_vector_id, embedding_dim, dead_ids and the counters."""
+        self._add_run(run_id=run_id, state="committed", **facts)
 
     def stored_dim(self) -> int | None:
         """Dimension of the stored vectors, None while there are none."""
@@ -137,10 +136,12 @@ class IndexStore:
     def dead(self) -> DataFrame:
         return self._table("dead", DEAD)
 
+    def n_dead(self) -> int:
+        return sum(r.dead_ids or 0 for r in self.committed())
+
     def live_vectors(self) -> DataFrame:
-        """Vectors in use. The dead are listed per run, so the list is short, and
-        broadcast by Spark's size threshold, as long as little was replaced."""
-        return self.vectors().join(self.dead().select("vector_id"), "vector_id", "left_anti")
+        """Vectors whose chunk is in use."""
+        return delete_vectors(self.vectors(), self.dead())
 
     def write_files(self, files: DataFrame, run_id: int) -> None:
         columns = [c.split()[0] for c in FILES.split(", ")]
