@@ -159,7 +159,7 @@ def statements() -> dict[str, str]:
                     THEN replace(text, {NL}, ' ') ELSE {ENDED} END AS text
                     FROM documents WHERE lang <> 'es')))
             SELECT path, chunk_no, start_line, end_line, CASE
-                WHEN lines IS NULL THEN '[Error reading file: no such file: ' || path || ']'
+                WHEN lines IS NULL THEN '[Error reading file: cannot read ' || path || ']'
                 WHEN start_line > len(lines) THEN ''
                 ELSE array_to_string(lines[start_line : end_line], {NL})
                     || CASE WHEN end_line < len(lines) OR closed THEN {NL} ELSE '' END END AS content

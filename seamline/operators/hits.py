@@ -36,17 +36,17 @@ def hydrate(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
 def attach_content(found: DataFrame, source: DataFrame) -> DataFrame:
     """Content by stored line numbers from the texts as they are now.
 
-    source: path, text. A path that is gone gives an error text, a range past
-    the end gives "". The texts meet only the few distinct ranges of the hits;
-    what is joined back is the cut-out.
+    source: path, text. A path that is gone, or whose text is null, gives an
+    error text, a range past the end gives "". The texts meet only the few
+    distinct ranges of the hits; what is joined back is the cut-out.
     """
     spot = ["path", "start_line", "end_line"]
     ranges = found.select(*spot).distinct()
     now = line_range(F.col("text"), F.col("start_line"), F.col("end_line"))
-    cut_out = source.join(ranges, "path").select(
-        *spot, F.coalesce(now, F.lit("")).alias("content")
+    cut_out = source.where(F.col("text").isNotNull()).join(ranges, "path").select(
+        *spot, now.alias("content")
     )
-    lost = F.format_string(READ_ERROR, F.concat(F.lit("no such file: "), F.col("path")))
+    lost = F.format_string(READ_ERROR, F.concat(F.lit("cannot read "), F.col("path")))
     others = [c for c in found.columns if c != "content"]
     return found.select(*others).join(cut_out, spot, "left").select(
         *others, F.coalesce("content", lost).alias("content")
