@@ -17,7 +17,7 @@ BLOCK_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000
 _GRID = 1e6
 _TILE = 4 << 20
-_PAIRS = 1 << 16
+_MANY = 1 << 14
 
 
 def grid_score(score):
@@ -73,8 +73,9 @@ def top_k(
     - else, vectors fit one block: queries stream, and each row is final;
     - else: one pass over the vectors per block of queries, each written out.
 
-    Copies of one vector are reduced to their k lowest ids inside the task, the
-    most that can be ranked, so a hot group of copies costs no more than others.
+    Where copies of a vector crowd the candidates, a task reduces them to their k
+    lowest ids, the most that can be ranked, so a hot group of copies costs no
+    more than others.
     """
     check_k(k)
     queries = queries.select("query_id", "embedding")
@@ -188,16 +189,18 @@ def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.reshape(len(vectors), dim).astype(np.float32, copy=False)
 
 
-def lowest_copies(ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keep the k lowest ids of each group of identical rows."""
-    if len(ids) <= k:
-        return ids, rows
+def lowest_copies(ids: np.ndarray, rows: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Marks, among the rows at `at`, the k lowest ids of each group of equal rows.
+
+    No more of them can be ranked: copies score the same and go by id.
+    """
     whole_row = np.dtype((np.void, rows.shape[1] * rows.itemsize))
-    keys = np.ascontiguousarray(rows).view(whole_row).ravel()
+    keys = np.ascontiguousarray(rows[at]).view(whole_row).ravel()
     _, group = np.unique(keys, return_inverse=True)
-    order = np.lexsort((ids, group))
-    keep = np.sort(order[_place_in_group(group[order]) < k])
-    return ids[keep], rows[keep]
+    order = np.lexsort((ids[at], group))
+    kept = np.zeros(len(rows), bool)
+    kept[at[order[_place_in_group(group[order]) < k]]] = True
+    return kept
 
 
 def _place_in_group(sorted_groups: np.ndarray) -> np.ndarray:
@@ -223,24 +226,28 @@ class Best:
         Single precision finds candidates with a margin above its rounding
         error, double precision scores and ranks those.
         """
-        if which is None:
-            which = np.arange(len(queries))
+        which = np.arange(len(queries)) if which is None else which
+        asked = queries[which]
         step = max(1, _TILE // max(1, len(which)))
+        pairs = max(1, _TILE // max(1, queries.shape[1]))
         margin = 2 * (queries.shape[1] + 2) * 2.0**-23 + 2 / _GRID
         for start in range(0, len(rows), step):
             part, part_ids = rows[start : start + step], ids[start : start + step]
-            rough = queries[which] @ part.T
+            rough = asked @ part.T
             floor = self.floor[which]
             if len(part) > self.k and np.isinf(floor).any():
                 kth = np.partition(rough, -self.k, axis=1)[:, -self.k]
                 floor = np.maximum(floor, kth)
             q, r = np.nonzero(rough >= (floor - margin)[:, None])
-            for at in range(0, len(q), _PAIRS):
-                qs, rs = which[q[at : at + _PAIRS]], r[at : at + _PAIRS]
+            if len(r) > _MANY:
+                kept = lowest_copies(part_ids, part, np.unique(r), self.k)[r]
+                q, r = q[kept], r[kept]
+            for at in range(0, len(q), pairs):
+                qs, rs = q[at : at + pairs], r[at : at + pairs]
                 exact = np.einsum(
-                    "ij,ij->i", queries[qs].astype(np.float64), part[rs].astype(np.float64)
+                    "ij,ij->i", asked[qs].astype(np.float64), part[rs].astype(np.float64)
                 )
-                self._merge(qs, part_ids[rs], exact)
+                self._merge(which[qs], part_ids[rs], exact)
 
     def _merge(self, query: np.ndarray, vector_id: np.ndarray, score: np.ndarray) -> None:
         touched = np.zeros(len(self.floor), bool)
@@ -282,10 +289,8 @@ def _stream_vectors(vectors: DataFrame, block: pa.Table, k: int, dim: int, schem
         query_ids, queries = shared.value
         best = Best(len(queries), k)
         for batch in batches:
-            ids, rows = lowest_copies(
-                batch.column("vector_id").to_numpy(), matrix(batch.column("embedding"), dim), k
-            )
-            best.add(queries, rows, ids)
+            rows = matrix(batch.column("embedding"), dim)
+            best.add(queries, rows, batch.column("vector_id").to_numpy())
         yield best.batch(query_ids)
 
     return vectors.mapInArrow(scan, schema)
@@ -293,7 +298,7 @@ def _stream_vectors(vectors: DataFrame, block: pa.Table, k: int, dim: int, schem
 
 def _stream_queries(queries: DataFrame, block: pa.Table, k: int, dim: int, schema: str) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(
-        lowest_copies(column(block, "vector_id").to_numpy(), matrix(block.column("embedding"), dim), k)
+        (column(block, "vector_id").to_numpy(), matrix(block.column("embedding"), dim))
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from seamline.functions.embedding import embed_documents, embed_queries, hashing_model
 from seamline.functions.vectors import inner_product, l2_normalise
 from seamline.operators.probe import assign_lists, top_k_probe, train_centroids
-from seamline.operators.topk import top_k, top_k_single, top_k_without
+from seamline.operators.topk import Best, top_k, top_k_single, top_k_without
 from seamline.operators.vectors import add_vectors, cut_vectors, delete_vectors
 from seamline.work import written
 
@@ -80,6 +81,24 @@ def test_blocks_of_queries(spark, data):
     assert ranked(hits) == brute_force(queries, vectors, 7)
 
 
+def test_crowd_of_copies():
+    """Half of all rows are one vector, the best for every query."""
+    rng = np.random.default_rng(3)
+    rows = unit(rng.standard_normal((4000, DIM)))
+    rows[rng.permutation(4000)[:2000]] = rows[0]
+    queries = unit(rows[:1] + 0.1 * rng.standard_normal((300, DIM)))
+    ids = rng.permutation(4000)
+    best = Best(len(queries), 6)
+    for part in np.array_split(np.arange(4000), 3):
+        best.add(queries, rows[part], ids[part])
+    by_id = np.empty_like(rows)
+    by_id[ids] = rows
+    expected = brute_force(queries, by_id, 6)
+    got = best.batch(pa.array(range(len(queries)))).to_pydict()
+    assert got["vector_id"] == [i for q in range(len(queries)) for i in expected[q]]
+    assert got["rank"] == list(range(1, 7)) * len(queries)
+
+
 def test_single_query_equals_many(spark, data):
     queries, vectors = data
     hits = top_k_single(table(spark, vectors), queries[3].tolist(), 9).orderBy("rank").collect()
