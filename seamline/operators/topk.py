@@ -18,6 +18,8 @@ BROADCAST_IDS = 1_000_000
 _GRID = 1e6
 _TILE = 4 << 20
 _MANY = 1 << 14
+_MERGE_AT_ONCE = 100
+_MERGE_GROUPS = 64
 
 
 def grid_score(score):
@@ -169,14 +171,22 @@ def per_query_block(
 
 
 def merge_top_k(hits: DataFrame, k: int) -> DataFrame:
-    """The k best of each query; the window limit also cuts before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(
-        grid_score(F.col("score")).desc(), F.col("vector_id")
-    )
-    ranked = hits.select(
-        "query_id", F.row_number().over(order).alias("rank"), "vector_id", "score"
-    )
-    return ranked.where(F.col("rank") <= k)
+    """The k best of each query; the window limit also cuts before the shuffle.
+
+    A query has k rows from every task. With large k they are first merged in
+    groups of tasks, so that no single task receives all of them.
+    """
+    if k > _MERGE_AT_ONCE:
+        group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
+        hits = _best_rows(hits.withColumn("_group", group), k, "query_id", "_group")
+    best = _best_rows(hits, k, "query_id")
+    return best.select("query_id", "rank", "vector_id", "score")
+
+
+def _best_rows(hits: DataFrame, k: int, *keys: str) -> DataFrame:
+    order = [grid_score(F.col("score")).desc(), F.col("vector_id")]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:

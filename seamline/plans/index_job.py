@@ -11,7 +11,7 @@ from seamline.functions.embedding import Model, embed_documents, hashing_model
 from seamline.functions.paths import language
 from seamline.functions.text import count_lines
 from seamline.operators.changes import compare_scan, counters, decide
-from seamline.operators.chunking import chunk_count, chunk_lines, count_chunks
+from seamline.operators.chunking import chunk_count, chunk_lines
 from seamline.operators.ids import assign_vector_ids
 from seamline.sources.store import COUNTERS, IndexStore
 from seamline.sources.table import TableSource
@@ -37,9 +37,10 @@ def index_files(
     5. Embed the written chunks and write vectors.
     6. Write the ids that fell out of use and the new manifest, then commit.
 
-    Text is read twice rather than held or staged, and travels through a shuffle
-    only if the source is a table and much of it changed. A failure anywhere
-    before the commit leaves the index as it was.
+    The text of a tree is read twice and never shuffled. Of a table that mostly
+    stayed the same the touched texts are set aside in one scan; where most of
+    it is touched it is scanned twice, and its text shuffled for step 4 only.
+    A failure anywhere before the commit leaves the index as it was.
     """
     spark = store.spark
     params = store.params().check()
@@ -49,11 +50,16 @@ def index_files(
     before = store.committed()[-1]
     run_id = store.start_run()
 
-    compared = written(compare_scan(source.listing(), store.files(), force))
+    scan = source.listing(params.include_extensions)
+    compared = written(compare_scan(scan, store.files(), force))
+    is_touched = F.col("state").isin("new", "updated")
     wanted = [c for c in ("path", "size") if c in compared.columns]
-    touched = written(compared.where(F.col("state").isin("new", "updated")).select(*wanted))
-    counted = count_chunks(source.read_all(touched), size, overlap).select("path", "n_chunks")
-    plan = written(decide(compared.join(counted, "path", "left"), F.col("n_chunks")))
+    touched = written(compared.where(is_touched).select(*wanted))
+    n = compared.agg(F.count_if(is_touched).alias("touched"), F.count("*").alias("all")).first()
+    if 2 * n["touched"] <= n["all"]:
+        source = source.narrowed(touched)
+    counts = source.count(touched, size, overlap)
+    plan = written(decide(compared.join(counts, "path", "left"), F.col("n_chunks")))
     dropped = F.coalesce(
         F.sum(F.when(F.col("drop_old"), F.col("old_n_chunks"))), F.lit(0)
     ).alias("dropped_chunks")

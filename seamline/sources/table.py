@@ -8,40 +8,46 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamline.fixed_values import EXCLUDED_FOLDERS, INCLUDE_EXTENSIONS
 from seamline.functions.text import decode_utf8, unix_newlines
+from seamline.operators.chunking import count_chunks
 from seamline.operators.files import keep_files
 from seamline.operators.ids import in_id_order
+from seamline.work import written
 
 
 class TableSource:
     """Any DataFrame with a unique `path`, an `mtime` and `text` or `content`."""
 
-    def __init__(
-        self,
-        table: DataFrame,
-        extensions: Iterable[str] = INCLUDE_EXTENSIONS,
-        excluded: Iterable[str] = EXCLUDED_FOLDERS,
-    ):
-        self.table = keep_files(table, extensions, excluded)
+    def __init__(self, table: DataFrame, excluded: Iterable[str] = EXCLUDED_FOLDERS):
+        self.table = table
+        self.excluded = tuple(excluded)
 
-    def listing(self) -> DataFrame:
+    def listing(self, extensions: Iterable[str] = INCLUDE_EXTENSIONS) -> DataFrame:
         """path, mtime; the scan reads no other column than these."""
-        return self.table.select("path", F.col("mtime").cast("double").alias("mtime"))
+        kept = keep_files(self.table, extensions, self.excluded)
+        return kept.select("path", F.col("mtime").cast("double").alias("mtime"))
+
+    def _texts(self) -> DataFrame:
+        if "text" in self.table.columns:
+            text = F.col("text")
+        else:
+            text = decode_utf8(F.col("content"))
+        return self.table.select("path", unix_newlines(text).alias("text"))
 
     def read(self, files: DataFrame) -> DataFrame:
         """`files` (with a unique `path`) plus `text`; null content stays null.
 
         Files that a written table lists are broadcast when Spark sees that it
-        is small, so an incremental run does not shuffle unchanged text.
+        is small, so a run that touches little shuffles no other text.
         """
-        if "text" in self.table.columns:
-            text = F.col("text")
-        else:
-            text = decode_utf8(F.col("content"))
-        texts = self.table.select("path", unix_newlines(text).alias("text"))
-        return files.join(texts, "path")
+        return files.join(self._texts(), "path")
+
+    def count(self, files: DataFrame, size: int, overlap: int) -> DataFrame:
+        """path, n_chunks of the files; counted while scanning, text stays put."""
+        return files.select("path").join(count_chunks(self._texts(), size, overlap), "path")
 
-    def read_all(self, files: DataFrame) -> DataFrame:
-        return self.read(files)
+    def narrowed(self, files: DataFrame) -> "TableSource":
+        """The source of these files alone, written out: later reads scan only them."""
+        return TableSource(written(self.read(files.select("path"))), self.excluded)
 
     def read_in_id_order(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
         return in_id_order(self.read(files), first_id, n_chunks, tasks)

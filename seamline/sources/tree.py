@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.fixed_values import EXCLUDED_FOLDERS, INCLUDE_EXTENSIONS
+from seamline.operators.chunking import count_chunks
 from seamline.operators.files import keep_files
 from seamline.operators.ids import in_id_order
 from seamline.work import literal_rows, work_folder, written
@@ -27,21 +28,16 @@ _BYTES_PER_TASK = 64 << 20
 
 
 class TreeSource:
-    """All files below `root` that pass the extension and folder rules."""
+    """All files below `root` but for those in excluded folders."""
 
     def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        extensions: Iterable[str] = INCLUDE_EXTENSIONS,
-        excluded: Iterable[str] = EXCLUDED_FOLDERS,
+        self, spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED_FOLDERS
     ):
         self.spark = spark
         self.root = os.path.abspath(root)
-        self.extensions = tuple(extensions)
         self.excluded = tuple(excluded)
 
-    def listing(self) -> DataFrame:
+    def listing(self, extensions: Iterable[str] = INCLUDE_EXTENSIONS) -> DataFrame:
         """path (relative), mtime (null if it cannot be examined), size.
 
         One job per depth of the tree: the folders of a level are spread over
@@ -64,7 +60,7 @@ class TreeSource:
             level += 1
         entries = self.spark.read.schema(_ENTRY).parquet(folder)
         files = entries.where("not is_folder").select("path", "mtime", "size")
-        return keep_files(files, self.extensions, self.excluded)
+        return keep_files(files, extensions, self.excluded)
 
     def read(self, files: DataFrame) -> DataFrame:
         """`files` (with a `path`) plus `text`, null where a file cannot be read.
@@ -80,6 +76,14 @@ class TreeSource:
         tasks = max(self.spark.sparkContext.defaultParallelism, total // _BYTES_PER_TASK)
         return self.read(files.repartition(int(tasks), "path"))
 
+    def count(self, files: DataFrame, size: int, overlap: int) -> DataFrame:
+        """path, n_chunks of the files."""
+        return count_chunks(self.read_all(files), size, overlap).select("path", "n_chunks")
+
+    def narrowed(self, files: DataFrame) -> "TreeSource":
+        """Itself: files are read one by one in any case."""
+        return self
+
     def read_in_id_order(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
         return self.read(in_id_order(files, first_id, n_chunks, tasks))
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import json
 import os
 
@@ -131,6 +132,17 @@ def test_force_rebuilds(spark, root, tmp_path):
     consistent(store)
 
 
+def test_extensions_of_the_parameters(spark, root, tmp_path):
+    """A file that the parameters no longer include leaves the index."""
+    store = IndexStore(spark, str(tmp_path / "index")).create(PARAMS)
+    source = TreeSource(spark, str(root))
+    index_files(store, source)
+    store.create(dataclasses.replace(PARAMS, include_extensions=(".RS",)))
+    assert counters(index_files(store, source))["deleted_files"] == 4
+    assert [r.path for r in store.files().collect()] == ["sub/removed.rs"]
+    consistent(store)
+
+
 def test_failed_run_changes_nothing(spark, root, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index")).create(PARAMS)
     source = TreeSource(spark, str(root))
@@ -153,14 +165,21 @@ def test_failed_run_changes_nothing(spark, root, tmp_path):
 
 
 def test_table_equals_tree(spark, root, tmp_path):
+    """Also for a run that touches little of the table and one that touches most."""
+    for i in range(12):
+        put(root, f"more/{i}.py", lines("more", i), 100.0)
     tree = TreeSource(spark, str(root))
-    rows = tree.read_all(tree.listing()).select("path", "mtime", F.encode("text", "UTF-8").alias("content"))
-    stores = []
-    for name, source in (("a", tree), ("b", TableSource(rows))):
-        store = IndexStore(spark, str(tmp_path / name)).create(PARAMS)
-        index_files(store, source)
-        stores.append(sorted(map(tuple, store.chunks().select("path", "chunk_no", "text", "vector_id").collect())))
-    assert stores[0] == stores[1]
+    stores = [IndexStore(spark, str(tmp_path / name)).create(PARAMS) for name in "ab"]
+    for change in (lambda: None, lambda: second_state(root)):
+        change()
+        rows = tree.read_all(tree.listing()).select("path", "mtime", F.encode("text", "UTF-8").alias("content"))
+        got = []
+        for store, source in zip(stores, (tree, TableSource(rows))):
+            result = counters(index_files(store, source))
+            columns = ["path", "chunk_no", "text", "vector_id", "file_version"]
+            got.append((result, sorted(map(tuple, store.chunks().select(*columns).collect()))))
+        assert got[0] == got[1]
+    consistent(stores[1])
 
 
 def test_path_twice_ends_the_job(spark, tmp_path):
