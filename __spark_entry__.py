@@ -431,10 +431,10 @@ def text_queries(spark, sf_dir) -> DataFrame:
 
 
 def search_text(spark, sf_dir):
-    docs = spread_documents(spark, sf_dir)
-    results = search_chunks(
-        text_queries(spark, sf_dir), identified_chunks(docs), manifest(docs), TEXT_DIM, K
-    )
+    """Every text of `benchmark` against all chunks of all documents."""
+    chunks = written(identified_chunks(spread_documents(spark, sf_dir)))
+    files = manifest(documents(spark, sf_dir))
+    results = search_chunks(text_queries(spark, sf_dir), chunks, files, TEXT_DIM, K)
     return hit_ops.json_rows(results)
 
 

@@ -64,8 +64,9 @@ def top_k(
 ) -> DataFrame:
     """For each query the k best vectors: query_id, rank, vector_id, score.
 
-    queries: query_id, embedding; vectors: vector_id, embedding; unit length on
-    both sides, `dim` components. Every pair is scored, nothing is sampled.
+    queries: query_id, embedding; vectors: vector_id, embedding; ids are unique,
+    vectors have unit length and `dim` components. Every pair is scored, nothing
+    is sampled.
 
     One side travels to the tasks in blocks of checked size, the other streams
     past it as matrix products:

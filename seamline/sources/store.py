@@ -122,7 +122,7 @@ class IndexStore:
     def chunks_of(self, ids: DataFrame) -> DataFrame:
         """Chunks in the id blocks that `ids` (a written, bounded table) touches."""
         blocks = (
-            ids.select((F.col("vector_id") / ID_BLOCK).cast("bigint").alias("block"))
+            ids.select(F.expr(f"vector_id div {ID_BLOCK}").alias("block"))
             .distinct().limit(_PRUNE_BLOCKS + 1).collect()
         )
         if len(blocks) > _PRUNE_BLOCKS:

@@ -14,8 +14,8 @@ def work_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="seamline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seamline-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/seamline/{uuid.uuid4().hex}"
 
 

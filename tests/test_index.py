@@ -282,6 +282,22 @@ def test_ids_in_many_ranges(spark):
     assert {r.path: r.first_vector_id for r in got} == expected
 
 
+def test_states_of_files(spark):
+    """The tolerance is strict; what cannot be examined is left alone."""
+    scan = [("new", 1.0), ("same", 5.0), ("close", 5.0009), ("far", 5.0011), ("back", 4.0),
+            ("unseen", None), ("unseen new", None)]
+    known = [(p, 5.0) for p in ("same", "close", "far", "back", "unseen", "gone")]
+    rows = [spark.createDataFrame(r, "path string, mtime double") for r in (scan, known)]
+    states = {r.path: (r.state, r.known) for r in changes.compare_scan(*rows).collect()}
+    assert states == {
+        "new": ("new", False), "same": ("same", True), "close": ("same", True),
+        "far": ("updated", True), "back": ("updated", True), "unseen": ("same", True),
+        "unseen new": ("same", False), "gone": ("deleted", True),
+    }
+    forced = {r.path: r.state for r in changes.compare_scan(*rows, force=True).collect()}
+    assert forced["same"] == "updated" and forced["unseen"] == "same" and forced["gone"] == "deleted"
+
+
 def test_upsert(spark):
     schema = "path string, mtime double, language string, file_version bigint"
     old = spark.createDataFrame([("a", 1.0, "x", 1), ("b", 1.0, None, 1)], schema)
