@@ -40,11 +40,11 @@ def assign_vector_ids(files: DataFrame, first_id: int = 0) -> DataFrame:
     )
 
 
-def in_id_order(files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
+def in_id_ranges(files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
     """Rows with a `first_vector_id` in `tasks` ranges of about equal chunk numbers.
 
     Dense ids make the ranges plain arithmetic: no sampling pass is needed.
     """
     step = max(1, -(-n_chunks // tasks))
     number = F.expr(f"cast((first_vector_id - {first_id}) div {step} as int)")
-    return files.repartitionById(tasks, number).sortWithinPartitions("first_vector_id")
+    return files.repartitionById(tasks, number)

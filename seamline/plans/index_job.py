@@ -100,7 +100,7 @@ def _write_chunks(
     files = plan.where(F.col("action").isin("new", "updated")).select("path", "n_chunks")
     placed = written(assign_vector_ids(files, first_id))
     tasks = max(store.spark.sparkContext.defaultParallelism, -(-n_chunks // _CHUNKS_PER_TASK))
-    texts = source.read_in_id_order(placed, first_id, n_chunks, tasks)
+    texts = source.read_in_id_ranges(placed, first_id, n_chunks, tasks)
     moved = F.raise_error(F.concat(F.lit("changed while it was indexed: "), F.col("path")))
     as_planned = chunk_count(count_lines(F.col("text")), size, overlap) == F.col("n_chunks")
     steady = texts.withColumn("text", F.when(as_planned, F.col("text")).otherwise(moved))

@@ -148,8 +148,11 @@ class IndexStore:
         files.select(*columns).write.mode("overwrite").parquet(f"{self.path}/files/snapshot={run_id}")
 
     def write_chunks(self, chunks: DataFrame, run_id: int) -> None:
+        """Ordered by id in each file; leading with the folder column, the order is
+        also the one that the write asks for, so rows are sorted once."""
         blocked = chunks.withColumn("id_block", F.expr(f"vector_id div {ID_BLOCK}"))
-        blocked.write.mode("overwrite").partitionBy("id_block").parquet(
+        ordered = blocked.sortWithinPartitions("id_block", "vector_id")
+        ordered.write.mode("overwrite").partitionBy("id_block").parquet(
             f"{self.path}/chunks/file_version={run_id}"
         )
 

@@ -10,7 +10,7 @@ from seamline.fixed_values import EXCLUDED_FOLDERS, INCLUDE_EXTENSIONS
 from seamline.functions.text import decode_utf8, unix_newlines
 from seamline.operators.chunking import count_chunks
 from seamline.operators.files import keep_files
-from seamline.operators.ids import in_id_order
+from seamline.operators.ids import in_id_ranges
 from seamline.work import written
 
 
@@ -49,5 +49,5 @@ class TableSource:
         """The source of these files alone, written out: later reads scan only them."""
         return TableSource(written(self.read(files.select("path"))), self.excluded)
 
-    def read_in_id_order(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
-        return in_id_order(self.read(files), first_id, n_chunks, tasks)
+    def read_in_id_ranges(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
+        return in_id_ranges(self.read(files), first_id, n_chunks, tasks)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seamline.fixed_values import EXCLUDED_FOLDERS, INCLUDE_EXTENSIONS
 from seamline.operators.chunking import count_chunks
 from seamline.operators.files import keep_files
-from seamline.operators.ids import in_id_order
+from seamline.operators.ids import in_id_ranges
 from seamline.work import literal_rows, work_folder, written
 
 _ENTRY = "path string, is_folder boolean, mtime double, size bigint"
@@ -84,8 +84,8 @@ class TreeSource:
         """Itself: files are read one by one in any case."""
         return self
 
-    def read_in_id_order(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
-        return self.read(in_id_order(files, first_id, n_chunks, tasks))
+    def read_in_id_ranges(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
+        return self.read(in_id_ranges(files, first_id, n_chunks, tasks))
 
 
 def _folder_lister(root: str, excluded: tuple[str, ...]):
