@@ -475,7 +475,26 @@ def entry(spark: SparkSession) -> DataFrame:
     return search_text(spark, "/root/testdata/sf0.001")
 
 
+def llm_parts():
+    """The modules of the training-data operators, if they are there."""
+    try:
+        from seamline.llm import queries as registered_llm, sql
+
+        import corpus_pipeline
+    except ImportError:
+        return None
+    return registered_llm, sql, corpus_pipeline
+
+
 def queries() -> dict[str, Query]:
+    parts = llm_parts()
+    if parts:
+        registered_llm, _, pipeline = parts
+        return {**own_queries(), **registered_llm.queries(), "pipeline": pipeline.run}
+    return own_queries()
+
+
+def own_queries() -> dict[str, Query]:
     return {
         "source_filter": source_filter,
         "language_map": language_map,
@@ -516,4 +535,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    parts = llm_parts()
+    if parts:
+        _, sql, pipeline = parts
+        of_pipeline = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
+        return {**oracle.statements(), **sql.statements(), **of_pipeline}
     return oracle.statements()
