@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import bpe, quality_rules, token_counts, token_files
+from seamline.llm import bpe, language_id, quality_knn, quality_rules, token_counts, token_files, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,10 +20,18 @@ def op2_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_language_id(spark, sf_dir):
+    return language_id.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.read_documents(token_files.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,10 +41,17 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.length_histogram(lengths)
 
 
+def op10_quality_knn(spark, sf_dir):
+    return quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op5_language_id": op5_language_id,
         "op6_token_files": op6_token_files,
+        "op7_toxicity": op7_toxicity,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
+        "op10_quality_knn": op10_quality_knn,
     }
