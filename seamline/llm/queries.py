@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import bpe, language_id, quality_knn, quality_rules, token_counts, token_files, toxicity
+from seamline.llm import bpe, language_id, ngram_join, quality_knn, quality_rules, token_counts, token_files, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -47,6 +51,7 @@ def op10_quality_knn(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_bpe": op2_bpe,
         "op5_language_id": op5_language_id,
         "op6_token_files": op6_token_files,
