@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import sys
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from seamline.llm.bpe import REMEMBERED, REMEMBERED_LENGTH, spaced_units
+from seamline.llm.bpe import LATIN_END, PUNCTUATION, REMEMBERED_LENGTH, REMEMBERED_TAILS, byte_letters, spaced_units
+
+#: Encodings that a task remembers; the memory is emptied when it is full.
+REMEMBERED = 300_000
 
 
 class LibraryEncoder:
@@ -15,42 +21,73 @@ class LibraryEncoder:
 
     Byte-level pre-tokens never hold a space but as their first character, so a
     text is the sum of its units (see `spaced_units`), and ids of units seen
-    before are remembered. Texts in which a special token may be spelled, or in
-    which spaces meet other white space, go to the library whole.
+    before are remembered. A new unit of letters is one pre-token and goes
+    straight to the library's model; any other goes through its whole encoder,
+    and so do texts in which a special token may be spelled, or in which spaces
+    meet other white space.
     """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        if sys.byteorder != "little":
+            raise ValueError("ids are packed as this machine orders bytes, which must be little-endian")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = str.maketrans({chr(byte): letter for byte, letter in byte_letters().items()})
+        self.space = byte_letters()[ord(" ")]
+        before = json.loads(file)["pre_tokenizer"] or {}
+        self.by_unit = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, spelled: str) -> bytes:
+        """Ids of one pre-token, spelled in the vocabulary's letters."""
+        return array(self.code, [token.id for token in self.model.tokenize(spelled)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit, its space before it."""
+        if unit.isascii() and unit.isalpha():
+            ids = self._word(self.space + unit)
+        else:
+            word = unit.rstrip(PUNCTUATION)
+            if not word.isalpha() or max(word) >= LATIN_END:
+                ids = self._library(" " + unit)
+            elif len(word) < len(unit):
+                ids = (self.known.get(word) or self._unit(word)) + self._tail(unit[len(word) :])
+            else:
+                ids = self._word(self.space + unit.encode().decode("latin-1").translate(self.letters))
+        if len(unit) <= REMEMBERED_LENGTH:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[unit] = ids
+        return ids
+
+    def _tail(self, signs: str) -> bytes:
+        """Ids of punctuation after letters: one pre-token."""
+        ids = self.tails.get(signs)
+        if ids is None:
+            ids = self._library(signs)
+            if len(self.tails) < REMEMBERED_TAILS:
+                self.tails[signs] = ids
+        return ids
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+    def _text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        units = spaced_units(text) if self.by_unit and not any(s in text for s in self.special) else None
+        if units is None:
+            return self._library(text)
+        known, unknown = self.known.get, self._unit
+        head = self._library(units[0]) if units[0] else b""
+        return head + b"".join([known(u) or unknown(u) for u in units[1:]])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Packed ids of each text, in the encoder's `kind`; null is empty."""
-        units = []
-        for text in texts:
-            whole = not text or any(s in text for s in self.special)
-            parts = None if whole else spaced_units(text)
-            units.append(parts if parts else text or "")
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = {unit for parts in units if isinstance(parts, list) for unit in parts[1:]}.difference(known)
-        new = list(new)
-        known.update(zip(new, self._library([" " + unit for unit in new])))
-        whole = [parts if isinstance(parts, str) else parts[0] for parts in units]
-        first = self._library(whole)
-        packed = [
-            head if isinstance(parts, str) else head + b"".join(map(known.__getitem__, parts[1:]))
-            for parts, head in zip(units, first)
-        ]
-        for unit in new:
-            if len(unit) > REMEMBERED_LENGTH:
-                del known[unit]
-        return packed
+        return [self._text(text) for text in texts]
