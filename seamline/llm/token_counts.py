@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seamline.llm.bpe import remembered, worker_memory
 from seamline.llm.library_tokens import LibraryEncoder
 from seamline.llm.texts import text_slices
+from seamline.work import written
 
 #: Lengths of a block are summed in one task; blocks are few: the longest length over this.
-BLOCK = 4096
+BLOCK = 256
 
 
 def token_lengths(documents: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -40,7 +41,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     Sums run over blocks of lengths and then inside each block, so no task sees
     more than `BLOCK` lengths or one row per block.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = written(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
