@@ -25,6 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 #: Encodings that a task remembers; the memory is emptied when it is full.
 REMEMBERED = 500_000
 REMEMBERED_LENGTH = 64
+REMEMBERED_TAILS = 10_000
+
+#: Below this character all libraries agree on what a letter is.
+LATIN_END = "\u0250"
+#: ASCII signs that are neither letters nor digits; after letters a run of them is one pre-token.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: A pre-token may have so many bytes: 2^40.
 PLACE_BITS = 40
@@ -98,6 +104,7 @@ class BytePairs:
         self.special_pattern = re.compile("|".join(map(re.escape, longest_first))) if self.special else None
         self.split = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The ids that remain of a pre-token's bytes when no merge applies any more."""
@@ -140,18 +147,28 @@ class BytePairs:
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a unit, its space before it; letters alone are one pre-token."""
-        if unit.isalpha():
-            ids = self._token(" " + unit)
-        elif unit[:-1].isalpha() and unit[-1] in ".,":
-            ids = (self.known.get(unit[:-1]) or self._unit(unit[:-1])) + self._token(unit[-1])
-        else:
+        word = unit.rstrip(PUNCTUATION)
+        if not word.isalpha() or max(word) >= LATIN_END:
             ids = self._tokens(" " + unit)
+        elif len(word) < len(unit):
+            ids = (self.known.get(word) or self._unit(word)) + self._tail(unit[len(word) :])
+        else:
+            ids = self._token(" " + unit)
         if len(unit) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[unit] = ids
         return ids
 
+    def _tail(self, signs: str) -> bytes:
+        """Ids of punctuation after letters: one pre-token."""
+        ids = self.tails.get(signs)
+        if ids is None:
+            ids = self._token(signs)
+            if len(self.tails) < REMEMBERED_TAILS:
+                self.tails[signs] = ids
+        return ids
+
     def _plain(self, text: str) -> bytes:
         units = spaced_units(text)
         if units is None:
