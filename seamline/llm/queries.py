@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import bpe, language_id, ngram_join, quality_knn, quality_rules, token_counts, token_files, toxicity
+from seamline.llm import (
+    bpe, decontamination, language_id, ngram_join, quality_knn, quality_rules, suffix_dedup, token_counts, token_files,
+    toxicity,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +27,15 @@ def op2_bpe(spark, sf_dir):
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark, sf_dir):
+    """All pairs of a document and a benchmark item found in it."""
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark, sf_dir):
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -53,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_bpe": op2_bpe,
+        "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
         "op6_token_files": op6_token_files,
         "op7_toxicity": op7_toxicity,
