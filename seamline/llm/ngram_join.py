@@ -141,8 +141,8 @@ class Join:
         placed = front.join(self.members, ["n", "s1", "s2"]).where("doc_id = member").distinct()
         groups = placed.groupBy("n", "p1", "p2").agg(F.min("member").alias("g"), F.sum("copies").alias("copies"))
         self.grouped = written(placed.join(groups.drop("copies"), ["n", "p1", "p2"]).select("g", "member", "n"))
-        fronts = known.select(F.col("doc_id").alias("g"), "prefix").join(groups.select("g", "n", "copies"), "g")
-        tokens = fronts.dropDuplicates(["g"]).select("g", "n", "copies", F.posexplode("prefix").alias("pos", "shingle"))
+        fronts = known.select(F.col("doc_id").alias("g"), "n", "prefix").join(groups.select("g", "n", "copies"), ["g", "n"])
+        tokens = fronts.select("g", "n", "copies", F.posexplode("prefix").alias("pos", "shingle"))
         often = tokens.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1")
         self.tokens = written(tokens.join(often, "shingle").drop("groups"))
 
@@ -150,29 +150,16 @@ class Join:
         p = self.rule.percent
         return (F.col(n) * 100 >= F.col(m) * p) & (F.col(m) * 100 >= F.col(n) * p)
 
-    def _possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb, pa, pb per shared shingle) of which enough can be common, each once."""
-        p = self.rule.percent
-        once = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-        most = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-        return once.where(most * (100 + p) >= (F.col("na") + F.col("nb")) * p).select("a", "b")
-
     def pivot_pairs(self) -> DataFrame:
         """Each group with up to three pivots of each of its shingles; as many rows as shingles, times three."""
-        own = F.struct("copies", (-F.col("g")).alias("order"), "g", "n", "pos")
-        by_size = F.struct("n", "g", "pos")
-        pivots = self.tokens.groupBy("shingle").agg(F.max(own).alias("most"), F.min(by_size).alias("low"), F.max(by_size).alias("high"))
-        listed = pivots.select("shingle", F.explode(F.array(*[F.struct(F.col(f"{k}.g").alias("pg"), F.col(f"{k}.n").alias("pn"), F.col(f"{k}.pos").alias("pp")) for k in ("most", "low", "high")])).alias("v"))
-        listed = listed.select("shingle", "v.*").distinct()
+        most = F.struct("copies", (-F.col("g")).alias("order"), "g", "n")
+        # A set near the middle of a cluster has few shingles of its own, so shared ones come early in its prefix.
+        early, small = F.struct("pos", "g", "n"), F.struct("n", "g")
+        pivots = self.tokens.groupBy("shingle").agg(F.max(most).alias("most"), F.min(early).alias("early"), F.min(small).alias("small"))
+        each = [F.struct(F.col(f"{k}.g").alias("pg"), F.col(f"{k}.n").alias("pn")) for k in ("most", "early", "small")]
+        listed = pivots.select("shingle", F.explode(F.array_distinct(F.array(*each))).alias("pivot")).select("shingle", "pivot.*")
         met = self.tokens.join(listed, "shingle").where(self._fits("n", "pn") & (F.col("g") != F.col("pg")))
-        first = F.col("g") < F.col("pg")
-        pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-        met = met.select(
-            pick("g", "pg").alias("a"), pick("pg", "g").alias("b"), pick("n", "pn").alias("na"), pick("pn", "n").alias("nb"),
-            pick("pos", "pp").alias("pa"), pick("pp", "pos").alias("pb"), "shingle",
-        ).distinct()
-        # A pair may have met at some of its shingles only: no bound from the count here.
-        return met.select("a", "b").distinct()
+        return met.select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct()
 
     def all_pairs(self, component: DataFrame | None) -> DataFrame:
         """All pairs of groups that share a shingle and may be similar; those of different components if given."""
@@ -194,10 +181,11 @@ class Join:
         )
         larger = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
         p = self.rule.percent
-        reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        # A pair counts at its first common shingle, after which only the rest of both can be common.
+        reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         able = reach * (100 + p) >= (F.col("na") + F.col("nb")) * p
         met = left.join(right, ["shingle", "band"]).where(larger & self._fits("na", "nb") & (F.col("ca") != F.col("cb")) & able)
-        return self._possible(met.select("a", "b", "na", "nb", "pa", "pb"))
+        return met.select("a", "b").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Member pairs (a, b, common, either) that are similar, of pairs of groups (a, b)."""
@@ -221,7 +209,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "own"])
 
         texts = self.documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(written(wanted), "doc_id", "left_semi")
-        sets = written(texts.mapInArrow(pack, "doc_id bigint, own binary").dropDuplicates(["doc_id"]))
+        sets = written(texts.mapInArrow(pack, "doc_id bigint, own binary"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
