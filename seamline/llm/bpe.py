@@ -39,8 +39,8 @@ PLACES = (1 << PLACE_BITS) - 1
 #: Fixed value: the splitting pattern of byte-level tokenizer files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: White space around a space: only then does a space not begin a unit of its own.
-_CROWDED = re.compile(r"\s \s|^ \s|\s $|  ")
+#: A space between other white space.
+_CROWDED = re.compile(r" (?<=\s )\s")
 
 #: Characters whose class may differ between the Unicode versions of two libraries.
 _UNASSIGNED = regex.compile(r"\p{Cn}")
@@ -54,7 +54,8 @@ def spaced_units(text: str) -> list[str] | None:
     The pattern lets a pre-token hold a space only as its first character, so
     each part, with its space before it, splits the same way alone.
     """
-    return None if _CROWDED.search(text) else text.split(" ")
+    crowded = "  " in text or (text[:1] == " " and text[:2].isspace()) or (text[-1:] == " " and text[-2:].isspace())
+    return None if crowded or _CROWDED.search(text) else text.split(" ")
 
 
 def library_tokens(text: str) -> list[str]:

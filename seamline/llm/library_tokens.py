@@ -41,6 +41,7 @@ class LibraryEncoder:
         self.space = byte_letters()[ord(" ")]
         before = json.loads(file)["pre_tokenizer"] or {}
         self.by_unit = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.line_end = self._library("\n")
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -53,8 +54,11 @@ class LibraryEncoder:
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a unit, its space before it."""
+        above, line_end, below = unit.partition("\n")
         if unit.isascii() and unit.isalpha():
             ids = self._word(self.space + unit)
+        elif line_end and above and below and not above[-1].isspace() and not below[0].isspace():
+            ids = (self.known.get(above) or self._unit(above)) + self.line_end + self._start(below)
         else:
             word = unit.rstrip(PUNCTUATION)
             if not word.isalpha() or max(word) >= LATIN_END:
@@ -69,6 +73,13 @@ class LibraryEncoder:
             self.known[unit] = ids
         return ids
 
+    def _start(self, text: str) -> bytes:
+        """Ids of what stands at the start of a line, up to a space."""
+        word = text.rstrip(PUNCTUATION)
+        if word.isascii() and word.isalpha():
+            return self._word(word) + (self._tail(text[len(word) :]) if len(word) < len(text) else b"")
+        return self._library(text)
+
     def _tail(self, signs: str) -> bytes:
         """Ids of punctuation after letters: one pre-token."""
         ids = self.tails.get(signs)
