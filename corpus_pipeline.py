@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import seamline
 from seamline.functions.text import decode_utf8
 from seamline.llm import bpe, decontamination, ngram_join, quality_knn, suffix_dedup
+from seamline.llm.texts import free_name
 from seamline.work import written
 
 cloudpickle.register_pickle_by_value(seamline)
@@ -25,17 +26,10 @@ cloudpickle.register_pickle_by_value(seamline)
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """`name`, with underscores until no column has it."""
-    while name.lower() in (c.lower() for c in docs.columns):
-        name += "_"
-    return name
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote of nearest neighbours rejects go; without labels none does."""
     model = quality_knn.fit_neighbours(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = free_name(docs, "score")
+    score = free_name(docs.columns, "score")
     return quality_knn.with_scores(docs, model, score).where(F.col(score) >= quality_knn.ACCEPT).drop(score)
 
 
@@ -57,14 +51,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut from the texts; what is left of a cut character goes too. n_chars follows."""
-    cut = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(
-        F.when(F.col("n_removed") == 0, F.col("text")).otherwise(decode_utf8(F.col("kept_bytes")))
-    )
-    out = cut.withColumn("text", text)
+    made = tuple(free_name(docs.columns, name) for name in suffix_dedup.MADE)
+    kept, _, removed, _ = made
+    cut = suffix_dedup.remove_repeats(docs, made)
+    whole = F.col("text").isNull() | (F.col(removed) == 0)
+    out = cut.withColumn("text", F.when(whole, F.col("text")).otherwise(decode_utf8(F.col(kept))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(docs.columns)
 
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seamline.llm.texts import RangeHash, text_slices, utf8_bytes
+from seamline.llm.texts import RangeHash, free_name, text_slices, utf8_bytes
 from seamline.work import written
 
 LENGTH = 400
@@ -265,38 +265,42 @@ def covered(size: int, found: list[dict] | None) -> np.ndarray:
     return np.cumsum(edges)[:size] > 0
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """All columns of `documents` with `kept_bytes`, `n_bytes`, `n_removed`, `n_spans` (names that it must not have).
+MADE = ("kept_bytes", "n_bytes", "n_removed", "n_spans")
 
-    Texts are UTF-8 bytes, a null text is empty. A repeat may lie in the same
-    document, and may overlap; what is judged is the input, never what is left.
-    Both of two rows with the same doc_id and text count.
+
+def remove_repeats(documents: DataFrame, made: tuple[str, str, str, str] = MADE) -> DataFrame:
+    """All columns of `documents` and the four of `made`, names that it must not have.
+
+    They are the bytes kept, the number of bytes, of bytes removed and of maximal
+    removed runs. Texts are UTF-8 bytes, a null text is empty. A repeat may lie
+    in the same document, and may overlap; what is judged is the input, never
+    what is left. Both of two rows with the same doc_id and text count.
     """
-    ranges = repeated_ranges(documents)
     columns = documents.columns
-    keyed = documents.withColumns({"found_doc": F.col("doc_id").cast("bigint"), "found_hash": F.xxhash64("text")})
-    own = ranges.withColumnsRenamed({"doc_id": "d_", "text_hash": "h_"})
-    joined = keyed.join(own, keyed["found_doc"].eqNullSafe(own["d_"]) & (keyed["found_hash"] == own["h_"]), "left")
-    joined = joined.select(*columns, "found")
-    out = joined.select(*columns, F.lit(b"").alias("kept_bytes"), *[F.lit(0).cast("bigint").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]).schema
+    found, doc, text_hash, d, h = (free_name([*columns, *made], n) for n in ("found", "found_doc", "found_hash", "found_d", "found_h"))
+    own = repeated_ranges(documents).toDF(d, h, found)
+    keyed = documents.withColumns({doc: F.col("doc_id").cast("bigint"), text_hash: F.xxhash64("text")})
+    joined = keyed.join(own, F.col(doc).eqNullSafe(F.col(d)) & (F.col(text_hash) == F.col(h)), "left").select(*columns, found)
+    zeros = [F.lit(0).cast("bigint").alias(c) for c in made[1:]]
+    out = joined.select(*columns, F.lit(b"").alias(made[0]), *zeros).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 texts = part.column("text").cast(pa.large_binary()).to_pylist()
                 rows = []
-                for text, found in zip(texts, part.column("found").to_pylist()):
+                for text, own_runs in zip(texts, part.column(found).to_pylist()):
                     text = text or b""
-                    if not found:
+                    if not own_runs:
                         rows.append((text, len(text), 0, 0))
                         continue
-                    gone = covered(len(text), found)
+                    gone = covered(len(text), own_runs)
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     rows.append((kept, len(text), int(gone.sum()), spans))
-                made = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+                results = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), *made], [*columns, "kept_bytes", "n_bytes", "n_removed", "n_spans"]
+                    [*(part.column(c) for c in columns), *results], [*columns, *made]
                 )
 
     return joined.mapInArrow(cut, out)

@@ -15,6 +15,13 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores until no column has it."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices that hold at most `most` bytes of text, or one row."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

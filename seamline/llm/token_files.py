@@ -72,10 +72,11 @@ class ShardWriter:
     def _write(self, ids: np.ndarray, n_tokens: int) -> None:
         mask = np.arange(len(ids)) < n_tokens
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema)]
-        before = self.sink.tell()
         self.stream.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         if not self.n_sequences:
-            self.first_batch, self.batch_bytes = before, self.sink.tell() - before
+            # The stream begins with its schema; the first batch follows.
+            self.first_batch = self.schema.serialize().size
+            self.batch_bytes = self.sink.tell() - self.first_batch
         self.n_tokens += n_tokens
         self.n_sequences += len(ids) // self.length
 
