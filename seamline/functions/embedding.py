@@ -58,13 +58,22 @@ def hashing_model(dim: int, max_tokens: int | None = None) -> Callable[[], Model
 
         return embed
 
+    load.model_name = f"hashed words, {dim} buckets" + (f", {max_tokens} words" if max_tokens else "")
     return load
 
 
+def model_name(load_model: Callable[[], Model]) -> str:
+    """What an index calls its model: the loader's `model_name`, or where the loader is defined."""
+    own = getattr(load_model, "model_name", None)
+    return own or f"{getattr(load_model, '__module__', '')}.{getattr(load_model, '__qualname__', type(load_model).__qualname__)}"
+
+
 def cut_and_normalise(rows: np.ndarray, dim: int) -> np.ndarray:
     rows = np.asarray(rows)[:, :dim].astype(np.float64)
     if rows.shape[1] != dim:
         raise ValueError(f"the model gives {rows.shape[1]} components, {dim} are asked for")
+    if not np.isfinite(rows).all():
+        raise ValueError("the model gives components that are not finite")
     norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     norms[norms == 0] = 1.0
     return (rows / norms[:, None]).astype(np.float32)

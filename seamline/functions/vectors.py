@@ -28,8 +28,12 @@ def l2_normalise(vector: Column) -> Column:
 
 
 def checked_dim(vector: Column, dim: int) -> Column:
-    """The vector, or an error that ends the job when its length is not `dim`."""
+    """The vector, or an error that ends the job when its length is not `dim` or a component is not finite."""
     message = F.concat(
         F.lit(f"vector length must be {dim}, got "), F.coalesce(F.size(vector), F.lit(-1)).cast("string")
     )
-    return F.when(F.size(vector) == dim, vector).otherwise(F.raise_error(message))
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    strange = F.raise_error(F.lit("vector components must be finite"))
+    return F.when(F.size(vector) != dim, F.raise_error(message)).when(finite, vector).when(
+        F.size(vector) >= 0, strange
+    ).otherwise(F.raise_error(message))

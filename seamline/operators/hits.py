@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seamline.fixed_values import READ_ERROR
-from seamline.functions.text import line_range, preview, text_block
+from seamline.functions.text import join_range, preview, split_lines, text_block
 
 RESULT_COLUMNS = (
     "query_id", "rank", "file_path", "start_line", "end_line", "score", "language", "content",
@@ -37,15 +37,22 @@ def attach_content(found: DataFrame, source: DataFrame) -> DataFrame:
     """Content by stored line numbers from the texts as they are now.
 
     source: path, text. A path that is gone, or whose text is null, gives an
-    error text, a range past the end gives "". The texts meet only the few
-    distinct ranges of the hits; what is joined back is the cut-out.
+    error text, a range past the end gives "". A path's distinct ranges form one
+    array, so that its text is joined and split once; what is joined back is the
+    cut-out.
     """
     spot = ["path", "start_line", "end_line"]
-    ranges = found.select(*spot).distinct()
-    now = line_range(F.col("text"), F.col("start_line"), F.col("end_line"))
-    cut_out = source.where(F.col("text").isNotNull()).join(ranges, "path").select(
-        *spot, now.alias("content")
+    ranges = found.groupBy("path").agg(F.collect_set(F.struct("start_line", "end_line")).alias("ranges"))
+    split = source.where(F.col("text").isNotNull()).join(ranges, "path").select(
+        "path", "ranges", split_lines(F.col("text")).alias("lines"), F.col("text").endswith("\n").alias("closed")
     )
+
+    def cut(spot: Column) -> Column:
+        start, end = spot["start_line"], spot["end_line"]
+        content = join_range(F.col("lines"), start, end, F.col("closed"))
+        return F.struct(start.alias("start_line"), end.alias("end_line"), content.alias("content"))
+
+    cut_out = split.select("path", F.inline(F.transform("ranges", cut)))
     lost = F.format_string(READ_ERROR, F.concat(F.lit("cannot read "), F.col("path")))
     others = [c for c in found.columns if c != "content"]
     return found.select(*others).join(cut_out, spot, "left").select(

@@ -18,7 +18,8 @@ BROADCAST_IDS = 1_000_000
 _GRID = 1e6
 _TILE = 4 << 20
 _MANY = 1 << 14
-_MERGE_AT_ONCE = 100
+_MERGE_AT_ONCE = 10_000
+_TASKS_PER_CORE = 4
 _MERGE_GROUPS = 64
 
 
@@ -38,9 +39,12 @@ def top_k_single(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     task keeps k rows and only those are merged.
     """
     check_k(k)
-    scored = vectors.select(
-        "vector_id",
-        inner_product(F.col("embedding"), F.lit([float(x) for x in query])).alias("score"),
+    if not np.isfinite(query).all():
+        raise ValueError("the query vector must be finite")
+    product = inner_product(F.col("embedding"), F.lit([float(x) for x in query]))
+    strange = F.raise_error(F.lit("vector components must be finite")).cast("double")
+    scored = vectors.select("vector_id", product.alias("score")).select(
+        "vector_id", F.when(F.abs("score") < float("inf"), F.col("score")).otherwise(strange).alias("score")
     )
     order = [grid_score(F.col("score")).desc(), F.col("vector_id")]
     best = scored.orderBy(*order).limit(k)
@@ -64,9 +68,10 @@ def top_k(
 ) -> DataFrame:
     """For each query the k best vectors: query_id, rank, vector_id, score.
 
-    queries: query_id, embedding; vectors: vector_id, embedding; ids are unique,
-    vectors have unit length and `dim` components. Every pair is scored, nothing
-    is sampled.
+    queries: query_id, embedding; vectors: vector_id, embedding; vectors have
+    unit length and `dim` finite components. A query id that occurs twice or is
+    null ends the job: results are told apart by it. Every pair is scored,
+    nothing is sampled.
 
     One side travels to the tasks in blocks of checked size, the other streams
     past it as matrix products:
@@ -86,7 +91,8 @@ def top_k(
     hits_type = hits_schema(queries)
     if k == 0:
         return literal_rows(queries.sparkSession, hits_type)
-    rows = rows_per_block(dim, block_rows, block_bytes)
+    check_query_ids(queries)
+    rows = rows_per_block(dim, block_rows, block_bytes, k)
     if queries.count() > rows and vectors.count() <= rows:
         return _stream_queries(queries, vectors.toArrow(), k, dim, hits_type)
     return per_query_block(
@@ -135,13 +141,22 @@ def top_k_without(
         ranked *= 4
 
 
+def check_query_ids(queries: DataFrame) -> None:
+    twice = queries.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1 or query_id is null")
+    for row in twice.take(1):
+        raise ValueError(f"query_id {row['query_id']!r} occurs {row['n']} times; ids must be unique and not null")
+
+
 def hits_schema(queries: DataFrame) -> str:
     id_type = queries.schema["query_id"].dataType.simpleString()
     return f"query_id {id_type}, rank int, vector_id bigint, score double"
 
 
-def rows_per_block(dim: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(1, min(block_rows, block_bytes // (4 * dim)))
+def rows_per_block(
+    dim: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, k: int = 0
+) -> int:
+    """How many queries a task holds at once, each with its vector and its k best so far."""
+    return max(1, min(block_rows, block_bytes // (4 * dim + 24 * k)))
 
 
 def per_query_block(
@@ -174,16 +189,25 @@ def per_query_block(
 def merge_top_k(hits: DataFrame, k: int) -> DataFrame:
     """The k best of each query; the window limit also cuts before the shuffle.
 
-    A query has k rows from every task. With large k they are first merged in
-    groups of tasks, so that no single task receives all of them.
+    A query has k rows from every task. Where that is much they are first merged
+    in groups of tasks, so that no single task receives all of them.
     """
-    if k > _MERGE_AT_ONCE:
+    if k * scan_tasks(hits.sparkSession) > _MERGE_AT_ONCE:
         group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
         hits = _best_rows(hits.withColumn("_group", group), k, "query_id", "_group")
     best = _best_rows(hits, k, "query_id")
     return best.select("query_id", "rank", "vector_id", "score")
 
 
+def scan_tasks(spark) -> int:
+    """A scan for top-k has at most so many tasks, whatever the number of splits.
+
+    Each task hands on k rows per query, so more tasks than keep the cores busy
+    only add to the shuffle; a task that streams many splits also prunes better.
+    """
+    return _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
 def _best_rows(hits: DataFrame, k: int, *keys: str) -> DataFrame:
     order = [grid_score(F.col("score")).desc(), F.col("vector_id")]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -197,6 +221,8 @@ def matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if vectors.null_count or np.any(np.diff(vectors.offsets.to_numpy()) != dim):
         raise ValueError(f"every vector must have {dim} components")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    if not np.isfinite(flat).all():
+        raise ValueError("vector components must be finite")
     return flat.reshape(len(vectors), dim).astype(np.float32, copy=False)
 
 
@@ -304,7 +330,7 @@ def _stream_vectors(vectors: DataFrame, block: pa.Table, k: int, dim: int, schem
             best.add(queries, rows, batch.column("vector_id").to_numpy())
         yield best.batch(query_ids)
 
-    return vectors.mapInArrow(scan, schema)
+    return vectors.coalesce(scan_tasks(vectors.sparkSession)).mapInArrow(scan, schema)
 
 
 def _stream_queries(queries: DataFrame, block: pa.Table, k: int, dim: int, schema: str) -> DataFrame:

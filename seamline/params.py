@@ -45,6 +45,8 @@ class IndexParams:
             )
         if self.chunk_size_lines < 1 or self.chunk_overlap_lines < 0:
             raise ValueError("chunk_size_lines must be positive, chunk_overlap_lines not negative")
+        if self.chunk_size_lines <= self.chunk_overlap_lines:
+            raise ValueError("chunk_size_lines must exceed chunk_overlap_lines, or most lines are in no chunk")
         return self
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.fixed_values import BATCH_SIZE
-from seamline.functions.embedding import Model, embed_documents, hashing_model
+from seamline.functions.embedding import Model, embed_documents, hashing_model, model_name
 from seamline.functions.paths import language
 from seamline.functions.text import count_lines
 from seamline.operators.changes import compare_scan, counters, decide
@@ -45,8 +45,8 @@ def index_files(
     spark = store.spark
     params = store.params().check()
     size, overlap, dim = params.chunk_size_lines, params.chunk_overlap_lines, params.embedding_dim
-    if store.stored_dim() not in (None, dim):
-        raise ValueError(f"stored vectors have {store.stored_dim()} components, not {dim}")
+    model = load_model or hashing_model(dim)
+    store.check_model(dim, model_name(model))
     before = store.committed()[-1]
     run_id = store.start_run()
 
@@ -74,9 +74,7 @@ def index_files(
         store.write_vectors(
             store.run_chunks(run_id).select(
                 "vector_id",
-                embed_documents(
-                    F.col("text"), load_model or hashing_model(dim), dim, batch_size
-                ).alias("embedding"),
+                embed_documents(F.col("text"), model, dim, batch_size).alias("embedding"),
             ),
             run_id,
         )
@@ -88,7 +86,7 @@ def index_files(
         store.write_files(next_manifest(plan, placed, run_id), run_id)
     store.commit(
         run_id, snapshot=run_id if changed else before.snapshot, next_vector_id=first_id + n_chunks,
-        embedding_dim=dim, dead_ids=totals["dropped_chunks"], **result,
+        embedding_dim=dim, embedder=model_name(model), dead_ids=totals["dropped_chunks"], **result,
     )
     return literal_rows(spark, ", ".join(f"{name} bigint" for name in COUNTERS), result)
 

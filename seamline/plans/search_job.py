@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.fixed_values import BATCH_SIZE, TOP_K
-from seamline.functions.embedding import Model, embed_documents, embed_queries, hashing_model
+from seamline.functions.embedding import Model, embed_documents, embed_queries, hashing_model, model_name
 from seamline.operators.hits import attach_content, hydrate, result_rows, with_chunks, with_files
 from seamline.operators.topk import check_k, top_k, top_k_without
 from seamline.sources.store import IndexStore
@@ -33,12 +33,13 @@ def search_index(
     it is the text that was indexed.
     """
     check_k(k)
+    store = store.at()  # every read below is of one snapshot, whatever is committed meanwhile
     if slots not in ("live", "all"):
         raise ValueError('slots must be "live" or "all"')
     dim = store.params().check().embedding_dim
-    if store.stored_dim() not in (None, dim):
-        raise ValueError(f"stored vectors have {store.stored_dim()} components, not {dim}")
-    embedded = _embed(queries, load_model or hashing_model(dim), dim, batch_size)
+    model = load_model or hashing_model(dim)
+    store.check_model(dim, model_name(model))
+    embedded = written(_embed(queries, model, dim, batch_size))
     if slots == "all":
         hits = top_k(embedded, store.vectors(), k, dim)
     else:
@@ -67,7 +68,8 @@ def search_chunks(
     vectors = chunks.select(
         "vector_id", embed_documents(F.col("text"), model, dim, batch_size).alias("embedding")
     )
-    hits = top_k(_embed(queries, model, dim, batch_size), vectors, k, dim)
+    # Written: each text is embedded once, however often the search scans vectors or queries.
+    hits = top_k(written(_embed(queries, model, dim, batch_size)), written(vectors), k, dim)
     return result_rows(hydrate(written(hits), chunks, files))
 
 

@@ -19,14 +19,20 @@ def table_counts(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> Dat
 
 
 def index_stats(store: IndexStore) -> DataFrame:
-    """Counts and parameters of a stored index; chunks are those in use."""
+    """Counts and parameters of a stored index, all of one snapshot; chunks are those in use.
+
+    model_name is the model that made the vectors, or the one in the parameters
+    while there are none.
+    """
+    store = store.at()
     params = store.params()
-    in_use = store.chunks().select("vector_id").join(
-        store.dead().select("vector_id"), "vector_id", "left_anti"
+    files = store.files().agg(
+        F.count("*").alias("file_count"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunk_count")
     )
-    return table_counts(store.files(), in_use, store.vectors()).select(
+    vectors = store.vectors().agg(F.count("*").alias("vector_count"))
+    return files.join(vectors).select(
         F.lit(store.path).alias("path"),
-        F.lit(params.model_name).alias("model_name"),
+        F.lit(store.embedder() or params.model_name).alias("model_name"),
         F.lit(params.embedding_dim).alias("embedding_dim"),
         "file_count", "chunk_count", "vector_count",
         F.lit(params.chunk_size_lines).alias("chunk_size_lines"),

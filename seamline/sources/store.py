@@ -33,17 +33,40 @@ VECTORS = "vector_id bigint, embedding array<float>, file_version bigint"
 DEAD = "vector_id bigint, file_version bigint"
 COUNTERS = ("new_files", "updated_files", "skipped_files", "deleted_files", "total_chunks")
 _RUNS = (
-    "run_id bigint, state string, snapshot bigint, next_vector_id bigint, embedding_dim int, "
+    "run_id bigint, state string, snapshot bigint, next_vector_id bigint, embedding_dim int, embedder string, "
     "dead_ids bigint, " + ", ".join(f"{name} bigint" for name in COUNTERS)
 )
 ID_BLOCK = 1 << 22
 _PRUNE_BLOCKS = 1000
+_PRUNE_IDS = 1000
+_RANGE_GAP = 4096
+
+
+def _in_ranges(ids: list[int]):
+    """A condition on id_block and vector_id that holds for these ids; close ones share a range."""
+    ranges: list[list[int]] = []
+    for i in ids:
+        if ranges and i - ranges[-1][1] <= _RANGE_GAP and i // ID_BLOCK == ranges[-1][0] // ID_BLOCK:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    inside = F.lit(False)
+    for low, high in ranges:
+        inside = inside | ((F.col("id_block") == low // ID_BLOCK) & F.col("vector_id").between(low, high))
+    return inside
 
 
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._seen = None
+
+    def at(self, run_id: int | None = None) -> "IndexStore":
+        """The index as it is now, or as run `run_id` left it, for several reads that must agree."""
+        view = IndexStore(self.spark, self.path)
+        view._seen = [r for r in self.committed() if run_id is None or r.run_id <= run_id]
+        return view
 
     # -- set-up --------------------------------------------------------------
 
@@ -77,6 +100,8 @@ class IndexStore:
         literal_rows(self.spark, _RUNS, row).write.mode("append").json(f"{self.path}/runs")
 
     def committed(self) -> list:
+        if self._seen is not None:
+            return self._seen
         rows = [r for r in self._runs() if r.state == "committed"]
         if not rows:
             raise FileNotFoundError(f"no index at {self.path}; create it first")
@@ -104,6 +129,18 @@ class IndexStore:
         dims = {r.embedding_dim for r in self.committed() if r.total_chunks}
         return dims.pop() if dims else None
 
+    def embedder(self) -> str | None:
+        """The name of the model of the stored vectors, None while there are none."""
+        names = [r.embedder for r in self.committed() if r.total_chunks and r.embedder]
+        return names[-1] if names else None
+
+    def check_model(self, dim: int, name: str) -> None:
+        """Vectors of two models, or of two lengths, must not meet."""
+        if self.stored_dim() not in (None, dim):
+            raise ValueError(f"stored vectors have {self.stored_dim()} components, not {dim}")
+        if self.embedder() not in (None, name):
+            raise ValueError(f"stored vectors come from the model {self.embedder()!r}, not {name!r}")
+
     # -- tables --------------------------------------------------------------
 
     def _table(self, name: str, schema: str) -> DataFrame:
@@ -120,7 +157,14 @@ class IndexStore:
         return self._table("chunks", CHUNKS)
 
     def chunks_of(self, ids: DataFrame) -> DataFrame:
-        """Chunks in the id blocks that `ids` (a written, bounded table) touches."""
+        """At least the chunks of `ids` (a written table of hits).
+
+        Few ids become ranges that parquet skips row groups by: chunks lie in id
+        order. More of them still name the id blocks to read.
+        """
+        few = ids.select("vector_id").distinct().limit(_PRUNE_IDS + 1).collect()
+        if len(few) <= _PRUNE_IDS:
+            return self.chunks().where(_in_ranges(sorted(r.vector_id for r in few)))
         blocks = (
             ids.select(F.expr(f"vector_id div {ID_BLOCK}").alias("block"))
             .distinct().limit(_PRUNE_BLOCKS + 1).collect()

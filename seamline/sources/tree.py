@@ -7,6 +7,7 @@ files in part; the index needs all of them, so folders are listed by tasks.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ _ENTRY_ARROW = pa.schema(
 _ENTRIES_PER_BATCH = 10_000
 _TEXT_PER_BATCH = 32 << 20
 _BYTES_PER_TASK = 64 << 20
+_TRIES = 3
+_GONE = (FileNotFoundError, NotADirectoryError)
 
 
 class TreeSource:
@@ -63,7 +66,7 @@ class TreeSource:
         return keep_files(files, extensions, self.excluded)
 
     def read(self, files: DataFrame) -> DataFrame:
-        """`files` (with a `path`) plus `text`, null where a file cannot be read.
+        """`files` (with a `path`) plus `text`, null where a file is not there.
 
         Each task reads the files of its rows; no text is shuffled.
         """
@@ -88,26 +91,39 @@ class TreeSource:
         return self.read(in_id_ranges(files, first_id, n_chunks, tasks))
 
 
-def _folder_lister(root: str, excluded: tuple[str, ...]):
-    def entries(folder: str) -> Iterator[tuple]:
+def _tried(action):
+    """The result of `action`, None if the file or folder is not there (any more).
+
+    Any other error is tried again and then ends the job: a folder that cannot
+    be read for a moment must not look like one whose files were deleted.
+    """
+    for left in reversed(range(_TRIES)):
         try:
-            scan = os.scandir(os.path.join(root, folder))
+            return action()
+        except _GONE:
+            return None
         except OSError:
-            if not folder:
+            if not left:
                 raise
+            time.sleep(0.5)
+
+
+def _folder_lister(root: str, excluded: tuple[str, ...]):
+    def entries(folder: str) -> Iterator[tuple]:
+        scan = _tried(lambda: os.scandir(os.path.join(root, folder)))
+        if scan is None:
+            if not folder:
+                raise FileNotFoundError(root)
             return
         with scan:
             for entry in scan:
                 path = f"{folder}/{entry.name}" if folder else entry.name
-                try:
-                    if entry.is_dir():
-                        if not entry.is_symlink() and entry.name not in excluded:
-                            yield path, True, None, None
-                        continue
-                    found = entry.stat()
-                    yield path, False, found.st_mtime, found.st_size
-                except OSError:
-                    yield path, False, None, None
+                if _tried(entry.is_dir):
+                    if not entry.is_symlink() and entry.name not in excluded:
+                        yield path, True, None, None
+                    continue
+                found = _tried(entry.stat)
+                yield (path, False, found.st_mtime, found.st_size) if found else (path, False, None, None)
 
     def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -130,12 +146,15 @@ def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _text_reader(root: str):
+    def content_of(path: str) -> bytes:
+        with open(os.path.join(root, path), "rb") as file:
+            return file.read()
+
     def text_of(path: str) -> str | None:
-        try:
-            with open(os.path.join(root, path), "rb") as file:
-                text = file.read().decode("utf-8", "ignore")
-        except OSError:
+        content = _tried(lambda: content_of(path))
+        if content is None:
             return None
+        text = content.decode("utf-8", "ignore")
         return text.replace("\r\n", "\n").replace("\r", "\n")
 
     def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

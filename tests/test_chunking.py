@@ -8,14 +8,15 @@ from seamline.functions.text import (
     count_lines, decode_utf8, line_range, preview, split_lines, text_block, unix_newlines,
 )
 from seamline.operators.chunking import chunk_count, chunk_lines
+from seamline.params import IndexParams
 
 
 def files(spark, *texts):
     return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
 
 
-def chunks(spark, text, size, overlap):
-    rows = chunk_lines(files(spark, text), size, overlap).orderBy("chunk_no").collect()
+def chunks(spark, text, size, overlap, first_only=False):
+    rows = chunk_lines(files(spark, text), size, overlap, first_only).orderBy("chunk_no").collect()
     assert [r.chunk_no for r in rows] == list(range(len(rows)))
     return [(r.start_line, r.end_line, r.text) for r in rows]
 
@@ -58,8 +59,13 @@ def test_last_chunk_inside_the_one_before(spark):
 
 
 def test_stride_not_positive_gives_one_chunk(spark):
-    assert [c[:2] for c in chunks(spark, "x\n" * 30, 10, 10)] == [(1, 10)]
-    assert [c[:2] for c in chunks(spark, "x\n" * 30, 10, 12)] == [(1, 10)]
+    assert [c[:2] for c in chunks(spark, "x\n" * 30, 10, 10, True)] == [(1, 10)]
+    assert [c[:2] for c in chunks(spark, "x\n" * 30, 10, 12, True)] == [(1, 10)]
+    for size, overlap, first_only in ((10, 10, False), (10, 12, False), (10, 2, True)):
+        with pytest.raises(ValueError):
+            chunk_lines(files(spark, "a"), size, overlap, first_only)
+    with pytest.raises(ValueError, match="exceed"):
+        IndexParams(chunk_size_lines=10).check()
 
 
 def test_only_newlines_separate_lines(spark):
@@ -81,9 +87,10 @@ def test_against_brute_force(spark):
     def check(texts, size, overlap):
         table = files(spark, *texts)
         got = {}
-        for r in chunk_lines(table, size, overlap).orderBy("path", "chunk_no").collect():
+        first_only = size <= overlap
+        for r in chunk_lines(table, size, overlap, first_only).orderBy("path", "chunk_no").collect():
             got.setdefault(int(r.path), []).append((r.start_line, r.end_line, r.text))
-        counts = table.select("path", chunk_count(count_lines(F.col("text")), size, overlap).alias("n"))
+        counts = table.select("path", chunk_count(count_lines(F.col("text")), size, overlap, first_only).alias("n"))
         n = {int(r.path): r.n for r in counts.collect()}
         for i, text in enumerate(texts):
             expected = brute_force(text, size, overlap)

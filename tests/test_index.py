@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from seamline.functions.embedding import hashing_model
 from seamline.operators import changes, checks
 from seamline.operators.hits import write_json, write_text
 from seamline.operators.ids import assign_vector_ids
@@ -153,6 +154,7 @@ def test_failed_run_changes_nothing(spark, root, tmp_path):
     def broken():
         raise RuntimeError("no such model")
 
+    broken.model_name = hashing_model(PARAMS.embedding_dim).model_name
     with pytest.raises(Exception, match="no such model"):
         index_files(store, source, load_model=broken)
     assert live(store) == before
