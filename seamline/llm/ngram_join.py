@@ -5,12 +5,12 @@ similar enough share a shingle among the first `n - least overlap + 1` of each
 (their prefixes). Documents with one set are one member; members with the same
 prefix and size form one group, and only groups enter the join. Shared shingles
 give pairs of groups, filtered by size and by how many shingles can still be
-common after the last shared one; the pairs that are left are expanded to their
+common after the first shared one; the pairs that are left are expanded to their
 members and verified on whole sets.
 
 Components need no pair whose ends are linked already, so the join runs in two
-rounds: first every group against a few pivots of its shingle, then, after the
-links found so far are contracted, all pairs between different components.
+rounds: first every group against one pivot, then, after the links found so far
+are contracted, all pairs between different components.
 `jaccard_links` gives all links instead.
 
 Counts for the order are heuristic where that is safe: any set of frequent
@@ -69,7 +69,7 @@ def document_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def frequent_shingles(documents: DataFrame, rule: Similarity) -> np.ndarray:
-    """Hashes of the shingles that most documents have near the front of a plain hash order."""
+    """Hashes of the shingles that most documents have, as far as they recur inside a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -84,9 +84,8 @@ def frequent_shingles(documents: DataFrame, rule: Similarity) -> np.ndarray:
         for batch in batches:
             for part in text_slices(batch):
                 for own in document_sets(part.column("text"), rule.width):
-                    front = own[: 3 * rule.prefix(len(own))]
-                    held.append(front)
-                    size += len(front)
+                    held.append(own)
+                    size += len(own)
                 if size > COUNTED:
                     yield flush()
                     held, size = [], 0
@@ -151,7 +150,7 @@ class Join:
         return (F.col(n) * 100 >= F.col(m) * p) & (F.col(m) * 100 >= F.col(n) * p)
 
     def pivot_pairs(self) -> DataFrame:
-        """Each group with up to three pivots of each of its shingles; as many rows as shingles, times three."""
+        """Each group with one other: of the pivots of its shingles, the one that most of them name."""
         most = F.struct("copies", (-F.col("g")).alias("order"), "g", "n")
         # A set near the middle of a cluster has few shingles of its own, so shared ones come early in its prefix.
         early, small = F.struct("pos", "g", "n"), F.struct("n", "g")
@@ -159,7 +158,9 @@ class Join:
         each = [F.struct(F.col(f"{k}.g").alias("pg"), F.col(f"{k}.n").alias("pn")) for k in ("most", "early", "small")]
         listed = pivots.select("shingle", F.explode(F.array_distinct(F.array(*each))).alias("pivot")).select("shingle", "pivot.*")
         met = self.tokens.join(listed, "shingle").where(self._fits("n", "pn") & (F.col("g") != F.col("pg")))
-        return met.select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct()
+        named = met.groupBy("g", "pg").agg(F.count("*").alias("times"))
+        best = named.groupBy("g").agg(F.max(F.struct("times", (-F.col("pg")).alias("order"), "pg")).alias("best"))
+        return best.select(F.least("g", "best.pg").alias("a"), F.greatest("g", "best.pg").alias("b")).distinct()
 
     def all_pairs(self, component: DataFrame | None) -> DataFrame:
         """All pairs of groups that share a shingle and may be similar; those of different components if given."""
