@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Encodings that a task remembers; the memory is emptied when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 REMEMBERED_LENGTH = 64
 REMEMBERED_TAILS = 10_000
 
@@ -197,12 +197,12 @@ def read_tokenizer(path: str) -> str:
 
 
 def worker_memory(df: DataFrame, tokenizer_path: str):
-    """The tokenizer file, broadcast in a dict that each Python worker keeps for all its tasks."""
+    """The tokenizer file, broadcast in a dict where each Python worker keeps what it makes of it."""
     return df.sparkSession.sparkContext.broadcast({"file": read_tokenizer(tokenizer_path)})
 
 
 def remembered(memory: dict, make):
-    """What `make` makes of the file, once for a worker: its known encodings serve all tasks."""
+    """What `make` makes of the file, once for a worker and all its tasks."""
     if "made" not in memory:
         memory["made"] = make(memory["file"])
     return memory["made"]
@@ -224,6 +224,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str) -> DataFrame:
                 part = batch.slice(at, 500)
                 ids = [pairs.encode(text) if text else b"" for text in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        pairs.known.clear()  # the worker goes on to other tasks
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, ENCODED)
 

@@ -38,7 +38,7 @@ PERIOD = 32
 #: Ranks of sampled places reach so far: PERIOD doubled three times.
 REACH = 256
 #: Text that a task sorts at once, if no single bucket is larger.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 HOT = 2000
 
 RUNS = "anchor bigint, doc_id bigint, text_hash bigint, start int, n_starts int, lead int, print bigint"

@@ -26,6 +26,7 @@ def token_lengths(documents: DataFrame, tokenizer_path: str) -> DataFrame:
             for part in text_slices(batch):
                 sizes = [len(ids) // encoder.kind.itemsize for ids in encoder.encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+        encoder.known.clear()  # the worker goes on to other tasks
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
 

@@ -130,6 +130,7 @@ def write_token_files(
                 first = next(batches, None)
             tokens.close()
             index.close()
+        encoder.known.clear()  # the worker goes on to other tasks
         for draft, name in zip(drafts, names):
             files.move(draft, name)
         row = [shard, n_docs, tokens.n_tokens, tokens.n_sequences, *(posixpath.join(folder, posixpath.basename(n)) for n in names), tokens.first_batch, tokens.batch_bytes]
