@@ -27,7 +27,7 @@ import oracle
 import seamline
 from seamline.fixed_values import MAX_TOKENS
 from seamline.functions.embedding import embed_documents, hashing_model
-from seamline.functions.paths import extension, language
+from seamline.functions.paths import extension, language, relative_path
 from seamline.functions.text import decode_utf8, split_lines, unix_newlines
 from seamline.functions.vectors import l2_normalise
 from seamline.operators import changes, checks, hits as hit_ops
@@ -38,9 +38,10 @@ from seamline.operators.probe import assign_lists, top_k_probe
 from seamline.operators.topk import top_k, top_k_single
 from seamline.operators.vectors import add_vectors, cut_vectors, delete_vectors
 from seamline.params import IndexParams
+from seamline.plans.compact_job import compact_index, drop_old_parts
 from seamline.plans.index_job import index_files
 from seamline.plans.search_job import search_chunks, search_index
-from seamline.plans.stats_job import table_counts
+from seamline.plans.stats_job import index_stats, table_counts
 from seamline.sources.store import IndexStore
 from seamline.sources.table import TableSource
 from seamline.work import spread, work_folder, written
@@ -468,6 +469,41 @@ def index_search(spark, sf_dir):
     return hit_ops.json_rows(results)
 
 
+def compact_index_query(spark, sf_dir):
+    """Chunks in use after both runs and a compaction that drops the older parts."""
+    store = two_runs(spark, sf_dir)
+    compact_index(store)
+    drop_old_parts(store)
+    chunks = changes.live_chunks(store.chunks(), store.files())
+    return chunks.join(store.vectors().select("vector_id"), "vector_id").select(
+        "path", "chunk_no", "start_line", "end_line", "text", "vector_id"
+    )
+
+
+def index_stats_query(spark, sf_dir):
+    """Counts of the index after both runs, and its parameters as saved and loaded."""
+    return index_stats(two_runs(spark, sf_dir)).drop("path")
+
+
+def relative_paths(spark, sf_dir):
+    """Paths below the folder of one language; the others are not below it."""
+    path = F.concat(F.lit("/data/"), F.col("lang"), F.lit("/"), old_path())
+    return documents(spark, sf_dir).select("doc_id", relative_path(path, "/data/en").alias("path"))
+
+
+def result_json(spark, sf_dir):
+    """Result rows as the JSON files hold them."""
+    docs = documents(spark, sf_dir)
+    found = hit_ops.hydrate(vector_hits(spark, sf_dir), identified_chunks(docs), versioned_files(docs))
+    folder = work_folder(spark)
+    hit_ops.write_json(hit_ops.result_rows(found), folder)
+    schema = (
+        "query_id bigint, rank int, file_path string, start_line int, end_line int, score double, "
+        "language string, content string"
+    )
+    return spark.read.schema(schema).json(folder)
+
+
 # -- contract ------------------------------------------------------------------
 
 
@@ -532,6 +568,10 @@ def own_queries() -> dict[str, Query]:
         "search_text": search_text,
         "index_two_runs": index_two_runs,
         "index_search": index_search,
+        "compact_index": compact_index_query,
+        "index_stats": index_stats_query,
+        "relative_paths": relative_paths,
+        "result_json": result_json,
     }
 
 

@@ -245,6 +245,17 @@ def statements() -> dict[str, str]:
             'python' AS language, text AS content FROM hits JOIN ch USING (vector_id)""",
         "index_two_runs": f"""WITH {TWO_RUNS} SELECT path, file_version, chunk_no, start_line, end_line, text,
             vector_id FROM live""",
+        "compact_index": f"""WITH {TWO_RUNS} SELECT path, chunk_no, start_line, end_line, text, vector_id
+            FROM live""",
+        "index_stats": f"""WITH {TWO_RUNS}
+            SELECT 'hashed words, 128 buckets' AS model_name, 128 AS embedding_dim,
+            (SELECT count(*) FROM documents WHERE NOT (lang = 'es' AND n_chars < 20)) AS file_count,
+            (SELECT count(*) FROM live) AS chunk_count,
+            (SELECT count(*) FROM run1) + (SELECT count(*) FROM run2) AS vector_count,
+            8 AS chunk_size_lines, 2 AS chunk_overlap_lines""",
+        "relative_paths": f"""SELECT doc_id, CASE WHEN lang = 'en' THEN {OLD_PATH} END AS path FROM documents""",
+        "result_json": f"""WITH {VECTOR_HITS} SELECT query_id, rank, path AS file_path, start_line, end_line,
+            round(score, 4) + 0.0 AS score, language, text AS content FROM found""",
         "index_search": f"""WITH {TWO_RUNS}, {text_hits("live", 128)}
             SELECT query_id, rank, path AS file_path, start_line, end_line, round(score, 4) + 0.0 AS score,
             'python' AS language, text AS content FROM hits JOIN live USING (vector_id)""",

@@ -2,6 +2,7 @@
 
     params/                      one JSON row
     runs/                        JSON rows: a run starts, reserves ids, commits
+    claims/                      an empty file for each run number that is taken
     files/snapshot=N/            the manifest as run N left it
     chunks/file_version=N/id_block=B/
     vectors/file_version=N/
@@ -34,7 +35,7 @@ DEAD = "vector_id bigint, file_version bigint"
 COUNTERS = ("new_files", "updated_files", "skipped_files", "deleted_files", "total_chunks")
 _RUNS = (
     "run_id bigint, state string, snapshot bigint, next_vector_id bigint, embedding_dim int, embedder string, "
-    "dead_ids bigint, " + ", ".join(f"{name} bigint" for name in COUNTERS)
+    "dead_ids bigint, first_version bigint, " + ", ".join(f"{name} bigint" for name in COUNTERS)
 )
 ID_BLOCK = 1 << 22
 _PRUNE_BLOCKS = 1000
@@ -108,11 +109,21 @@ class IndexStore:
         return sorted(rows, key=lambda r: r.run_id)
 
     def start_run(self) -> int:
-        """A run id that no other run has had, finished or not."""
+        """A run id that no other run has had, finished or not.
+
+        The id is claimed by creating a file, which only one of two writers can
+        do; the other takes the next number.
+        """
         run_id = max(r.run_id for r in self._runs()) + 1
+        while not self._claimed(run_id):
+            run_id += 1
         self._add_run(run_id=run_id, state="started")
         return run_id
 
+    def _claimed(self, run_id: int) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/run-{run_id}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path)
+
     def next_vector_id(self) -> int:
         """Above every id handed out so far, also by runs that failed."""
         return max(r.next_vector_id or 0 for r in self._runs())
@@ -121,7 +132,8 @@ class IndexStore:
         self._add_run(run_id=run_id, state="reserved", next_vector_id=next_vector_id)
 
     def commit(self, run_id: int, **facts) -> None:
-        """`facts`: snapshot, next_vector_id, embedding_dim, dead_ids and the counters."""
+        """`facts`: snapshot, next_vector_id, embedding_dim, embedder, dead_ids, the counters, and
+        first_version where the run replaces all parts before it."""
         self._add_run(run_id=run_id, state="committed", **facts)
 
     def stored_dim(self) -> int | None:
@@ -143,8 +155,16 @@ class IndexStore:
 
     # -- tables --------------------------------------------------------------
 
+    def first_version(self) -> int:
+        """Parts of earlier runs have been replaced by a compaction."""
+        return max(r.first_version or 0 for r in self.committed())
+
+    def _in_use(self) -> list:
+        first = self.first_version()
+        return [r for r in self.committed() if r.run_id >= first]
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        versions = [r.run_id for r in self.committed()]
+        versions = [r.run_id for r in self._in_use()]
         table = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         return table.where(F.col("file_version").isin(versions))
 
@@ -181,7 +201,7 @@ class IndexStore:
         return self._table("dead", DEAD)
 
     def n_dead(self) -> int:
-        return sum(r.dead_ids or 0 for r in self.committed())
+        return sum(r.dead_ids or 0 for r in self._in_use())
 
     def live_vectors(self) -> DataFrame:
         """Vectors whose chunk is in use."""

@@ -17,6 +17,7 @@ from seamline.operators.topk import top_k, top_k_single
 from seamline.operators.vectors import add_vectors
 from seamline.params import IndexParams
 from seamline.plans import search_job
+from seamline.plans.compact_job import compact_index, drop_old_parts
 from seamline.plans.index_job import index_files
 from seamline.plans.search_job import search_chunks, search_index
 from seamline.plans.stats_job import index_stats
@@ -210,3 +211,29 @@ def test_many_splits_shuffle_few_rows(spark):
     best = {r.query_id: r.vector_id for r in hits.where("rank = 1").collect()}
     matrix = np.array([v for _, v in rows], np.float32)
     assert best == {q: int(np.argmax(matrix @ matrix[q])) for q in range(3)}
+
+
+def test_compaction(spark, tmp_path):
+    """Same results from one part; nothing is dead; old folders go only when asked."""
+    store, source = indexed(spark, tmp_path / "index", texts(6))
+    index_files(store, source, force=True)
+    queries = spark.createDataFrame([(1, "text 3 line")], "query_id int, query string")
+    want = sorted(map(tuple, search_index(store, queries, 6).collect()))
+    older = store.at()
+    assert compact_index(store) == 3
+    assert sorted(map(tuple, search_index(store, queries, 6).collect())) == want and len(want) == 6
+    assert store.n_dead() == 0 and store.dead().count() == 0
+    assert store.vectors().count() == store.chunks().count() == index_stats(store).first().chunk_count
+    assert sorted(map(tuple, search_index(older, queries, 6).collect())) == want
+    gone = drop_old_parts(store)
+    assert "chunks/file_version=1" in gone and not any(name.endswith("=3") for name in gone)
+    assert sorted(map(tuple, search_index(store, queries, 6).collect())) == want
+    # The next run goes on from the compacted state.
+    assert index_files(store, source, force=True).first().updated_files == 6
+    assert store.live_vectors().count() == index_stats(store).first().chunk_count
+
+
+def test_a_run_number_is_claimed_once(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index")).create(PARAMS)
+    assert store._claimed(1) and not store._claimed(1)
+    assert store.start_run() == 2
