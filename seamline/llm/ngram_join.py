@@ -126,12 +126,37 @@ def member_sets(documents: DataFrame, rule: Similarity, frequent: np.ndarray) ->
     return written(rows.mapInArrow(describe, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"))
 
 
+def most_common(p: np.ndarray, q: np.ndarray, n: int, m: int, late: np.ndarray) -> int:
+    """The most shingles that sets of n and m can share, given their prefixes in the global order.
+
+    Up to the end of the prefix that ends first all shingles of both are known;
+    behind it at most the rest of the smaller remainder is common.
+    """
+
+    def often(values: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(late, values), max(len(late) - 1, 0))
+        return late[at] == values if len(late) else np.zeros(len(values), bool)
+
+    late_p, late_q = often(p), often(q)
+    end_late, end = min((bool(late_p[-1]), int(p[-1])), (bool(late_q[-1]), int(q[-1])))
+
+    def known(values: np.ndarray, is_late: np.ndarray) -> int:
+        split = len(values) - int(is_late.sum())
+        if end_late:
+            return split + int(np.searchsorted(values[split:], np.uint64(end), "right"))
+        return int(np.searchsorted(values[:split], np.uint64(end), "right"))
+
+    a, b = known(p, late_p), known(q, late_q)
+    return len(np.intersect1d(p[:a], q[:b], assume_unique=True)) + min(n - a, m - b)
+
+
 class Join:
     """The tables of one join."""
 
     def __init__(self, documents: DataFrame, rule: Similarity = Similarity()):
         self.documents, self.rule = documents, rule
-        self.described = member_sets(documents, rule, frequent_shingles(documents, rule))
+        self.frequent = frequent_shingles(documents, rule)
+        self.described = member_sets(documents, rule, self.frequent)
         known = self.described.where("n > 0 and doc_id is not null")
         # One member per set, one group per prefix and size.
         members = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("member"), F.count("*").alias("copies"))
@@ -197,9 +222,31 @@ class Join:
         )
         return self.checked(expanded)
 
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) whose prefixes leave room for enough common shingles; whole sets travel for these only."""
+        shared = self.documents.sparkSession.sparkContext.broadcast(self.frequent)
+        percent = self.rule.percent
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            late = shared.value
+            for batch in batches:
+                columns = [batch.column(c) for c in ("p", "q")]
+                sizes = zip(batch.column("n").to_pylist(), batch.column("m").to_pylist())
+                kept = []
+                for i, (n, m) in enumerate(sizes):
+                    p, q = (c[i].values.to_numpy().view(np.uint64) for c in columns)
+                    if most_common(p, q, n, m, late) * (100 + percent) >= (n + m) * percent:
+                        kept.append(i)
+                at = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], ["x", "y"])
+
+        known = self.described.where("n > 0").select("doc_id", "n", "prefix")
+        both = pairs.join(known.toDF("x", "n", "p"), "x").join(known.toDF("y", "m", "q"), "y")
+        return both.select("x", "y", "n", "m", "p", "q").mapInArrow(bound, "x bigint, y bigint").distinct()
+
     def checked(self, pairs: DataFrame) -> DataFrame:
         """Similar ones of pairs of members (x, y), with the size of intersection and union."""
-        pairs = written(pairs.where("x <> y").distinct())
+        pairs = written(self._possible(pairs.where("x <> y").distinct()))
         wanted = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
         width, percent = self.rule.width, self.rule.percent
 
