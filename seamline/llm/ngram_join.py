@@ -188,13 +188,19 @@ class Join:
         return best.select(F.least("g", "best.pg").alias("a"), F.greatest("g", "best.pg").alias("b")).distinct()
 
     def all_pairs(self, component: DataFrame | None) -> DataFrame:
-        """All pairs of groups that share a shingle and may be similar; those of different components if given."""
+        """All pairs of groups that share a shingle and may be similar; those of different components if given.
+
+        A group without a row in `component` is torn: all its pairs count.
+        """
         tokens = self.tokens
         if component is not None:
             own = component.withColumnRenamed("id", "g")
-            tokens = tokens.join(own, "g", "left").withColumn("component", F.coalesce("component", "g"))
-            mixed_ones = tokens.groupBy("shingle").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
-            tokens = tokens.join(mixed_ones.where("c1 <> c2").select("shingle"), "shingle", "left_semi")
+            # A torn group has no component here: some member of it differs from any other group's component.
+            tokens = tokens.join(own, "g", "left")
+            mixed_ones = tokens.groupBy("shingle").agg(
+                F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.col("component").isNull()).alias("torn")
+            )
+            tokens = tokens.join(mixed_ones.where("torn or c1 <> c2").select("shingle"), "shingle", "left_semi")
         else:
             tokens = tokens.withColumn("component", F.col("g"))
         # Similar sizes lie in one band or in neighbouring ones, so long lists of a shingle are split by size.
@@ -210,7 +216,8 @@ class Join:
         # A pair counts at its first common shingle, after which only the rest of both can be common.
         reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         able = reach * (100 + p) >= (F.col("na") + F.col("nb")) * p
-        met = left.join(right, ["shingle", "band"]).where(larger & self._fits("na", "nb") & (F.col("ca") != F.col("cb")) & able)
+        apart = F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))
+        met = left.join(right, ["shingle", "band"]).where(larger & self._fits("na", "nb") & apart & able)
         return met.select("a", "b").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:

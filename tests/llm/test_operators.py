@@ -101,6 +101,25 @@ def test_chain_and_star_of_near_copies(spark):
     assert members.count() == len(rows)
 
 
+def test_pairs_of_torn_groups(spark, monkeypatch):
+    """A group in two components loses no link to groups that carry its smallest member as component."""
+    words = sorted((f"w{i}" for i in range(1000)), key=lambda w: int(ngram_join.document_sets(pa.array([w]), 1)[0][0]))
+    front, body, one, seven, new = words[:16], words[100:174], words[200:210], words[300:310], words[400:403]
+    sets = {
+        1: front + body + one, 7: front + body + seven,
+        5: front[1:] + words[20:21] + body + one[:6] + seven[:1] + new,
+        3: front[:1] + front[2:] + words[21:22] + body + one[:2] + seven[:5] + new,
+    }
+    similar = {(i, j) for i, j in itertools.combinations(sorted(sets), 2) if 100 * len({*sets[i]} & {*sets[j]}) >= 85 * len({*sets[i]} | {*sets[j]})}
+    assert similar == {(1, 5), (3, 5), (3, 7)}
+    monkeypatch.setattr(ngram_join.Join, "pivot_pairs", lambda self: spark.createDataFrame([(1, 5), (3, 5)], "a bigint, b bigint"))
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], "doc_id bigint, text string")
+    join = ngram_join.Join(docs, ngram_join.Similarity(width=1))
+    assert {(r.g, r.member) for r in join.grouped.collect()} == {(1, 1), (1, 7), (3, 3), (5, 5)}
+    found = ngram_join.jaccard_components(docs, ngram_join.Similarity(width=1)).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict.fromkeys(sets, 1)
+
+
 def test_frequent_shingles_change_nothing(messy, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
     monkeypatch.setattr(ngram_join, "COUNTED", 50)
