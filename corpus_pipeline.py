@@ -23,6 +23,9 @@ from seamline.work import written
 
 cloudpickle.register_pickle_by_value(seamline)
 
+#: The rule of this stage; that of the query op1_ngram_join (4 words, 85 percent) is its own.
+NEAR_COPIES = ngram_join.Similarity(width=5, percent=80)
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -34,12 +37,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by the n-gram join the one with the smallest doc_id stays.
+    """Of documents linked by the n-gram join (5-word shingles, Jaccard of 0.8 or more) the one with the smallest doc_id stays.
 
     A row that repeats both doc_id and text goes too. Rows without a doc_id, and
     texts without words, are in no group and stay.
     """
-    found = ngram_join.jaccard_components(docs)
+    found = ngram_join.jaccard_components(docs, NEAR_COPIES)
     gone = written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import struct
 
@@ -68,3 +69,19 @@ def test_stages_keep_the_columns(messy, labels, spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         docs = out
     assert 0 < docs.count() <= messy.count()
+
+
+def test_near_copies_by_five_words(spark):
+    """Spread changes that leave a 5-word Jaccard of 0.8 and a 4-word one under 0.85 are near copies; more are not."""
+    rng = random.Random(21)
+    rows = []
+    for n, changes in ((95, 2), (95, 3), (140, 3), (140, 4), (470, 10), (470, 12)):
+        words = sentence(rng, n).split()
+        edited = [f"new{i}" if i % (n // changes) == n // changes // 2 else w for i, w in enumerate(words)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(edited))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    gone = {j for i, j in itertools.combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    component = brute_components(rows)
+    assert gone == {1, 5, 9} and all(component[i] == i for i in (1, 9))
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == set(sets) - gone
