@@ -6,9 +6,12 @@ pointer and moves on by a random bit of (j, word), so few edits between two
 windows leave few steps that differ. A repetition has its own bits and its own
 sample of steps; the sampled words of a window are its key.
 
-Each item is cut into pieces of one size (its last words are a piece too), so
-that an item with edits has a piece with few. A window of a piece's size starts
-at every word of every document. Walks of all windows of a slice run side by
+Pieces of an item take the place of windows of the item's size, whose walks
+drift apart with several edits. An item that may have e edits is cut into more
+than e disjoint pieces of one size, so one piece at least has no edit, and its
+window has the same key in every repetition: all words of an item within the
+share lead to it, at any length, so the recall by words is 1. A window of a
+piece's size starts at every word of every document. Walks of all windows of a slice run side by
 side, and a window leaves as soon as the words sampled so far begin no key of an
 item. Matching keys are verified by the exact edit distance between the item and
 the text around the window.
@@ -32,12 +35,12 @@ from seamline.work import written
 
 #: Items of a block, which goes to every task; with an average of over 500 characters there are more blocks.
 BLOCK_ITEMS = 20_000
-#: Piece sizes in words; an item takes the largest that fits.
-PIECES = (12, 6, 3, 1)
-#: Sampled steps of a key, by piece size.
-SAMPLED = {12: 5, 6: 4, 3: 2, 1: 1}
-#: Repetitions: measured recall at the greatest edit share is in the tests.
-REPETITIONS = 4
+#: The largest piece in words; a smaller share of edits than EDIT_SHARE allows larger pieces.
+LARGEST_PIECE = 12
+#: A key samples so many steps more than its piece has words.
+EXTRA_STEPS = 1
+#: A piece without an edit collides in every repetition, so one is enough.
+REPETITIONS = 1
 #: An item is in a text if a window is within this share of its words in edits.
 EDIT_SHARE = 0.15
 
@@ -49,6 +52,11 @@ for _a, _b, _shift in (("0", "9", 0), ("a", "z", 0), ("A", "Z", 32)):
     _PLAIN[ord(_a) : ord(_b) + 1] = np.arange(ord(_a), ord(_b) + 1) + _shift
 
 
+def piece_size(n: int, share: float) -> int:
+    """Words of a piece of an item of n words: more pieces fit than edits are allowed, so one has no edit."""
+    return max(1, min(LARGEST_PIECE, n // (int(share * n) + 1)))
+
+
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and per text the number of its first word."""
     data, offsets = utf8_bytes(texts)
@@ -70,7 +78,7 @@ class Walk:
         random = np.random.default_rng([self.size, self.seed])
         steps = 2 * self.size
         self.multipliers = random.integers(1 << 63, size=steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.sampled = np.sort(random.choice(steps, min(SAMPLED[self.size], steps), replace=False))
+        self.sampled = np.sort(random.choice(steps, min(self.size + EXTRA_STEPS, steps), replace=False))
 
     def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: list["Known"] | None) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the windows at `starts` (none reads beyond its `ends`), and which windows they are.
@@ -118,16 +126,15 @@ class Known:
 class Items:
     """A block of items, cut into pieces, with the keys of every repetition."""
 
-    def __init__(self, ids: list[int], texts: list[str], repetitions: int = REPETITIONS):
+    def __init__(self, ids: list[int], texts: list[str], repetitions: int = REPETITIONS, share: float = EDIT_SHARE):
         words, first = plain_words(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(first[:-1], first[1:])]
         pieces: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, own in enumerate(self.words):
-            size = next((s for s in PIECES if s <= len(own)), None)
-            if size:
-                places = {*range(0, len(own) - size + 1, size), len(own) - size}
-                pieces[size] += [(i, place) for place in sorted(places)]
+            if len(own):
+                size = piece_size(len(own), share)
+                pieces[size] += [(i, place) for place in range(0, len(own) - size + 1, size)]
         self.walks = []
         for size, own in sorted(pieces.items()):
             starts = np.array([first[i] + place for i, place in own])
@@ -227,7 +234,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, share: float = EDIT_S
 
 def finder(shared, share: float, repetitions: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*shared.value, repetitions)
+        items = Items(*shared.value, repetitions, share)
         for batch in batches:
             for part in text_slices(batch):
                 matches = items.matches(*plain_words(part.column("text")), share)

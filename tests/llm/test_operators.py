@@ -330,6 +330,23 @@ def test_recall_at_the_greatest_share():
     assert hits >= 0.9 * tries
 
 
+@pytest.mark.parametrize("kind", ["swap", "drop", "add"])
+def test_recall_at_each_length(kind):
+    """Every item of 1 to 60 words is found with as many edits of one kind as allowed, wherever they are."""
+    rng = random.Random(kind)
+    for n in range(1, 61):
+        words = [f"q{rng.randrange(4000)}" for _ in range(n)]
+        block = decontamination.Items([0], [" ".join(words)])
+        most, copies = int(decontamination.EDIT_SHARE * n), []
+        for _ in range(40):
+            own = list(words)
+            for k, at in enumerate(sorted(rng.sample(range(n), most), reverse=True)):
+                own[at : at + (kind != "add")] = [] if kind == "drop" else [f"new{k}"]
+            copies.append("some before " + " ".join(own) + " and some behind")
+        found = block.matches(*decontamination.plain_words(pa.array(copies)), decontamination.EDIT_SHARE)
+        assert {text for text, _ in found} == set(range(40)), n
+
+
 # -- 5, 7, 10: classifiers --------------------------------------------------------
 
 
