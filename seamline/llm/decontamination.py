@@ -1,7 +1,9 @@
 """Benchmark decontamination: CGK embeddings of word windows, bit-sampling LSH, edit verification.
 
-Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. The
-CGK random walk reads a window of words: at step j it emits the word under its
+Words are runs of letters, marks and digits by Unicode class, case folded and
+composed; each character of a script written without spaces is a word, with the
+marks that follow it. Invisible format characters are skipped. The CGK random
+walk reads a window of words: at step j it emits the word under its
 pointer and moves on by a random bit of (j, word), so few edits between two
 windows leave few steps that differ. A repetition has its own bits and its own
 sample of steps; the sampled words of a window are its key.
@@ -22,9 +24,11 @@ documents each, so that what is broadcast has a bound.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +51,6 @@ EDIT_SHARE = 0.15
 _TABLE_BITS = 20
 
 _PLAIN = np.full(256, 32, np.uint8)
-_PLAIN[0x80:] = np.arange(0x80, 0x100)
 for _a, _b, _shift in (("0", "9", 0), ("a", "z", 0), ("A", "Z", 32)):
     _PLAIN[ord(_a) : ord(_b) + 1] = np.arange(ord(_a), ord(_b) + 1) + _shift
 
@@ -57,14 +60,71 @@ def piece_size(n: int, share: float) -> int:
     return max(1, min(LARGEST_PIECE, n // (int(share * n) + 1)))
 
 
+#: Blocks of scripts written without spaces between words.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF),
+    (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA48F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x323AF),
+)
+_BETWEEN, _LETTER, _ALONE, _MARK, _SKIPPED = range(5)
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """A class for every code point."""
+    classes = np.full(0x110000, _LETTER, np.uint8)
+    of_category = {"P": _BETWEEN, "S": _BETWEEN, "Z": _BETWEEN, "M": _MARK}
+    for code in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0x20000), *range(0xE0000, 0xE0200)):
+        category = unicodedata.category(chr(code))
+        classes[code] = {"Cc": _BETWEEN, "Cf": _SKIPPED}.get(category, of_category.get(category[0], _LETTER))
+    for a, b in UNSPACED:
+        own = classes[a : b + 1]
+        own[own == _LETTER] = _ALONE
+        # Numbers are runs in these scripts too.
+        own[[unicodedata.category(chr(c)) == "Nd" for c in range(a, b + 1)]] = _LETTER
+    return classes
+
+
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and per text the number of its first word."""
     data, offsets = utf8_bytes(texts)
+    if len(data) and data.max() >= 0x80:
+        return unicode_words(texts)
     data = _PLAIN[data]
     begin, end, first = word_ranges(data, offsets)
     return RangeHash(data).of(begin, end), first
 
 
+def unicode_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As `plain_words`, for texts with characters beyond ASCII; words of ASCII have the same hashes."""
+    plain = [unicodedata.normalize("NFC", (text or "").casefold()) for text in texts.to_pylist()]
+    codes = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32)
+    offsets = np.cumsum([0, *map(len, plain)])
+    classes = character_classes()[codes]
+    shown = classes != _SKIPPED
+    if not shown.all():
+        offsets = np.concatenate(([0], np.cumsum(shown)))[offsets]
+        codes, classes = codes[shown], classes[shown]
+    n = len(codes)
+    # A mark belongs to what it follows; at the beginning, or behind a space, it is a letter.
+    opens = np.zeros(n + 1, bool)
+    opens[offsets] = True
+    mark = (classes == _MARK) & ~opens[:n]
+    base = np.maximum.accumulate(np.where(mark, 0, np.arange(n))) if n else np.empty(0, np.int64)
+    kind = classes[base]
+    mark &= kind != _BETWEEN
+    kind = np.where(kind == _MARK, _LETTER, np.where((kind == _BETWEEN) & (classes == _MARK), _LETTER, kind))
+    before = np.concatenate(([_BETWEEN], kind[:-1])) if n else kind
+    starts = (kind != _BETWEEN) & ~mark & (opens[:n] | (kind == _ALONE) | (before != _LETTER))
+    starts |= (classes == _MARK) & ~mark & (before == _BETWEEN)
+    begin = np.flatnonzero(starts)
+    # A word ends where the next one, a space or the next text begins.
+    stops = np.flatnonzero(np.concatenate((starts | (kind == _BETWEEN), [True])) | opens)
+    end = stops[np.searchsorted(stops, begin, "right")]
+    return RangeHash(codes).of(begin, end), np.searchsorted(begin, offsets)
+
+
 @dataclass
 class Walk:
     """One repetition for pieces of `size` words: its random bits and its sampled steps."""

@@ -347,6 +347,31 @@ def test_recall_at_each_length(kind):
         assert {text for text, _ in found} == set(range(40)), n
 
 
+def hashes(text):
+    """The hashes of the words of one text that stands between two others."""
+    words, first = decontamination.plain_words(pa.array(["é a", text, "b日"]))
+    return words[first[1] : first[2]].tolist()
+
+
+def test_words_by_unicode_class():
+    one = lambda word: decontamination.plain_words(pa.array([word]))[0].tolist()
+    apart = lambda *words: [h for word in words for h in one(word)]
+    assert hashes("Plain ASCII, 12 words_x") == apart("plain", "ascii", "12", "words", "x")
+    assert hashes("“L’ÉTÉ” — DÉJÀ…") == apart("l", "été", "déjà") and hashes("STRASSE") == hashes("Straße")
+    assert hashes("e\u0301te\u0301") == hashes("été") and hashes("co\u00adop zero\u200bwidth") == apart("coop", "zerowidth")
+    assert hashes("日本語、abc中12文") == apart("日", "本", "語", "abc", "中", "12", "文")
+    assert len(hashes("ก็ดี abc")) == 3 and hashes("ก็abc") == apart("ก็", "abc") and len(hashes("नमस्ते दुनिया")) == 2
+    assert len(hashes("\u0301 \u0301\u0302x")) == 2 and hashes("") == hashes("…") == []
+
+
+def test_items_in_other_scripts():
+    items = ["请问下列哪一个城市是法国的首都", "L'été dernier, nous avons visité à Besançon l'école préférée de Zoé"]
+    texts_ = [f"前面还有一些文字{items[0]}后面也有很多内容。", f"前面{items[0].replace('城', '都')}后面", f"x “{items[1].upper()}” — y", "其他的文字没有关系"]
+    block = decontamination.Items([0, 1], items)
+    found = block.matches(*decontamination.plain_words(pa.array(texts_)), decontamination.EDIT_SHARE)
+    assert {k: v[0] for k, v in found.items()} == {(0, 0): 0, (1, 0): 1, (2, 1): 0}
+
+
 # -- 5, 7, 10: classifiers --------------------------------------------------------
 
 
