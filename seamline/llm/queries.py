@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seamline.llm import (
-    bpe, decontamination, language_id, ngram_join, quality_knn, quality_rules, suffix_dedup, token_counts, token_files,
-    toxicity,
+    bpe, decontamination, divergence, language_id, licenses, merkle, ngram_join, quality_knn, quality_rules, suffix_dedup,
+    token_counts, token_files, toxicity,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,18 @@ def op10_quality_knn(spark, sf_dir):
     return quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_license_scan(spark, sf_dir):
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -73,4 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_counts": op9_token_counts,
         "op10_quality_knn": op10_quality_knn,
+        "op11_license_scan": op11_license_scan,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_source_divergence": op13_source_divergence,
     }

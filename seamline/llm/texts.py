@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,18 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def pieces(text: bytes, unit: re.Pattern, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes that cut no run of `unit` (one byte of a run)."""
+    first = 0
+    while first < len(text):
+        last = min(len(text), first + size)
+        if last < len(text) and unit.match(text, last - 1):
+            while last < len(text) and unit.match(text, last):
+                last += 1
+        yield text[first:last]
+        first = last
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices that hold at most `most` bytes of text, or one row."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
