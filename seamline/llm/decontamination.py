@@ -28,13 +28,13 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seamline.llm.texts import RangeHash, mixed, text_slices, utf8_bytes, word_ranges
+from seamline.llm.suffix_dedup import keyed_texts
+from seamline.llm.texts import RangeHash, free_name, mixed, text_slices, utf8_bytes, word_ranges
 from seamline.work import written
 
 #: Items of a block, which goes to every task; with an average of over 500 characters there are more blocks.
@@ -70,9 +70,18 @@ UNSPACED = (
 _BETWEEN, _LETTER, _ALONE, _MARK, _SKIPPED = range(5)
 
 
-@lru_cache(maxsize=1)
+#: Filled by the first call: a plain list goes to tasks by value, so they need no copy of the package.
+_classes: list[np.ndarray] = []
+
+
 def character_classes() -> np.ndarray:
     """A class for every code point."""
+    if not _classes:
+        _classes.append(_made_classes())
+    return _classes[0]
+
+
+def _made_classes() -> np.ndarray:
     classes = np.full(0x110000, _LETTER, np.uint8)
     of_category = {"P": _BETWEEN, "S": _BETWEEN, "Z": _BETWEEN, "M": _MARK}
     for code in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0x20000), *range(0xE0000, 0xE0200)):
@@ -269,13 +278,27 @@ def find_items(documents: DataFrame, benchmark: DataFrame, share: float = EDIT_S
 
     One row for a document and an item, with the fewest edits of any window (the
     first such window). Null and empty texts on either side match nothing, as do
-    items without a word. Rows that repeat a doc_id or an item_id count as one.
+    items without a word. Rows that repeat a doc_id or an item_id count as one,
+    and so do all rows with a null doc_id, which are searched like others.
     """
+    found = found_rows(documents, benchmark, share, repetitions)
+    least = F.min(F.struct("edits", "first_word", "item_words"))
+    return written(
+        found.groupBy("doc_id", "item_id").agg(least.alias("least"))
+        .select("doc_id", "item_id", "least.item_words", "least.edits", "least.first_word")
+    )
+
+
+_FOUND = "doc_id bigint, text_hash bigint, item_id bigint, item_words int, edits int, first_word int"
+
+
+def found_rows(documents: DataFrame, benchmark: DataFrame, share: float, repetitions: int = REPETITIONS) -> DataFrame:
+    """doc_id, text_hash and what `find_items` tells, for every row of `documents` and item found in it."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
     # Blocks by item: as many as rows and characters ask for; a block is what one scan compares with.
     size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-(size["chars"] or 0) // (BLOCK_ITEMS * 500)))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    rows = keyed_texts(documents)
     found = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).distinct()
@@ -283,13 +306,9 @@ def find_items(documents: DataFrame, benchmark: DataFrame, share: float = EDIT_S
         shared = documents.sparkSession.sparkContext.broadcast(
             (listed.column("item_id").to_pylist(), listed.column("text").to_pylist())
         )
-        part = rows.mapInArrow(finder(shared, share, repetitions), "doc_id bigint, item_id bigint, item_words int, edits int, first_word int")
+        part = rows.mapInArrow(finder(shared, share, repetitions), _FOUND)
         found = part if found is None else found.unionAll(part)
-    least = F.min(F.struct("edits", "first_word", "item_words"))
-    return written(
-        found.groupBy("doc_id", "item_id").agg(least.alias("least"))
-        .select("doc_id", "item_id", "least.item_words", "least.edits", "least.first_word")
-    )
+    return found
 
 
 def finder(shared, share: float, repetitions: int):
@@ -298,17 +317,25 @@ def finder(shared, share: float, repetitions: int):
         for batch in batches:
             for part in text_slices(batch):
                 matches = items.matches(*plain_words(part.column("text")), share)
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[t], items.ids[i], len(items.words[i]), edits, at) for (t, i), (edits, at) in matches.items()]
-                columns = list(zip(*rows)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                ids, hashes = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
+                rows = [(ids[t], hashes[t], items.ids[i], len(items.words[i]), edits, at) for (t, i), (edits, at) in matches.items()]
+                columns = list(zip(*rows)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "item_words", "edits", "first_word"]
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _FOUND.split(", ")]
                 )
 
     return find
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """The rows of `documents`, all columns, without the documents in which an item is found."""
-    return documents.join(find_items(documents, benchmark, share).select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+    """The rows of `documents`, all columns, without those in whose text an item is found.
+
+    A row is told by doc_id (null is a value like others) and text, so a clean
+    text stays though another row of its doc_id goes.
+    """
+    found = written(found_rows(documents, benchmark, share).select("doc_id", "text_hash").distinct())
+    doc, text_hash = (free_name(documents.columns, n) for n in ("found_doc", "found_hash"))
+    own = found.toDF(doc, text_hash)
+    same = documents["doc_id"].cast("bigint").eqNullSafe(own[doc]) & (F.xxhash64(documents["text"]) == own[text_hash])
+    return documents.join(own, same, "left_anti").select(documents.columns)

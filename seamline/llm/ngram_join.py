@@ -20,6 +20,7 @@ shingles gives a valid order, so they may come from counts inside tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +36,27 @@ FREQUENT = 1 << 16
 #: Shingles that a task remembers before it passes on those that it has met twice.
 COUNTED = 2_000_000
 
+#: Whole sets and prefixes go to the tasks in batches of so many rows and bytes.
+PAIRS_AT_ONCE = 500
+_PAIR_BYTES = 8 << 20
+
 _WEIGHTS = [mixed(np.array([i + 1], np.uint64))[0] for i in range(64)]
 
 
+@contextmanager
+def small_batches(spark):
+    """Rows that carry whole sets are long: what is written inside sends few of them to Python at once."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": PAIRS_AT_ONCE, "spark.sql.execution.arrow.maxBytesPerBatch": _PAIR_BYTES}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Shingles of `width` words; sets are similar when 100 |A & B| >= percent |A | B|."""
@@ -253,7 +272,9 @@ class Join:
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """Similar ones of pairs of members (x, y), with the size of intersection and union."""
-        pairs = written(self._possible(pairs.where("x <> y").distinct()))
+        spark = self.documents.sparkSession
+        with small_batches(spark):
+            pairs = written(self._possible(pairs.where("x <> y").distinct()))
         wanted = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
         width, percent = self.rule.width, self.rule.percent
 
@@ -285,7 +306,8 @@ class Join:
 
         both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("own").alias("one")), "x")
         both = both.join(sets.select(F.col("doc_id").alias("y"), F.col("own").alias("two")), "y").select("x", "y", "one", "two")
-        return written(both.mapInArrow(compare, "a bigint, b bigint, common bigint, either bigint"))
+        with small_batches(spark):
+            return written(both.mapInArrow(compare, "a bigint, b bigint, common bigint, either bigint"))
 
     def inside_pairs(self) -> DataFrame:
         """Members of a group with the group's first member."""

@@ -7,6 +7,11 @@ structure are scaled to equal length. The singular vectors of a bounded labelled
 sample span the latent space. The sample's vectors are broadcast; each document
 is compared with all of them, in blocks of matrix products, and its score is the
 similarity-weighted share of label 1 among its nearest neighbours.
+
+Products are taken of whole numbers small enough to be exact in double precision
+in any order of addition, so a score depends on the text alone and not on the
+rows that happen to share its batch; equal similarities go to the sampled
+document with the lowest doc_id first.
 """
 
 from __future__ import annotations
@@ -30,10 +35,17 @@ N_TERMS = N_GRAMS + LEVELS * MEASURES
 PER_LABEL = 1000
 DIMENSIONS = 64
 NEIGHBOURS = 15
+#: A sample has fewer documents than 2 to this power.
+SAMPLE_BITS = 14
 
 HELD_OUT = 1
 ACCEPT = 0.5
 
+#: Texts whose terms are held as dense rows at once.
+_ROWS = 512
+#: Coordinates of unit vectors are rounded to this part of 1: sums of products of two stay below 2^53.
+_GRID = 2.0**24
+
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[ord("A") : ord("Z") + 1] = True
 _LETTER = np.zeros(256, bool)
@@ -81,6 +93,11 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return values
 
 
+def on_grid(values: np.ndarray) -> np.ndarray:
+    """Values of at most about 1 as whole numbers, parts of 2^24."""
+    return np.rint(values.astype(np.float64) * _GRID)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
@@ -91,7 +108,7 @@ def document_counts(documents: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N_TERMS + 1)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, rows=_ROWS):
                 total[:N_TERMS] += (term_counts(part.column("text")) > 0).sum(axis=0)
                 total[N_TERMS] += part.num_rows
         at = np.flatnonzero(total)
@@ -112,11 +129,15 @@ class Neighbours:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        rows = unit(weighted(term_counts(texts), self.idf) @ self.axes)
-        near = rows @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** 4 + 1e-9
+        rows = unit(on_grid(weighted(term_counts(texts), self.idf)) @ on_grid(self.axes))
+        near = (on_grid(rows) @ on_grid(self.vectors).T).astype(np.int64)
+        n = near.shape[1]
+        k = min(NEIGHBOURS, n)
+        # Similarity first, then the lower place: no two keys of a row are equal.
+        keys = near * (1 << SAMPLE_BITS) + np.arange(n - 1, -1, -1)
+        best = np.argpartition(-keys, k - 1, axis=1)[:, :k]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(keys, best, axis=1), axis=1), axis=1)
+        weights = np.maximum(np.take_along_axis(near, best, axis=1) / _GRID**2, 0) ** 4 + 1e-9
         return (weights * self.labels[best]).sum(axis=1) / weights.sum(axis=1)
 
 
@@ -125,13 +146,15 @@ def fit_neighbours(documents: DataFrame, labels: DataFrame, per_label: int = PER
 
     Without any labelled document every score is 0.5.
     """
+    if 2 * per_label >= 1 << SAMPLE_BITS:
+        raise ValueError(f"per_label must be below {1 << SAMPLE_BITS - 1}")
     counted = document_counts(documents)
     idf = (np.log((counted[-1] + 1) / (counted[:-1] + 1)) + 1).astype(np.float32)
     ids = sampled_ids(binary_labels(labels, "quality", HELD_OUT), per_label, 2)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, rows=_ROWS):
                 packed = [row.astype(np.float16).tobytes() for row in weighted(term_counts(part.column("text")), idf)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "row"]
@@ -158,7 +181,7 @@ def with_scores(documents: DataFrame, model: Neighbours, name: str) -> DataFrame
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Neighbours(*shared.value)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, rows=_ROWS):
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(own.scores(part.column("text")), pa.float64())], [*part.schema.names, name]
                 )
@@ -169,7 +192,7 @@ def with_scores(documents: DataFrame, model: Neighbours, name: str) -> DataFrame
 def quality_scores(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, empty and null texts too.
 
-    Equal texts get equal scores. Repeated rows each get a row. held_out is null
+    Equal texts get equal scores, wherever they stand. Repeated rows each get a row. held_out is null
     where doc_id is.
     """
     model = fit_neighbours(documents, labels, per_label)

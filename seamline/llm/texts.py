@@ -35,13 +35,16 @@ def pieces(text: bytes, unit: re.Pattern, size: int = SLICE_BYTES) -> Iterator[b
         first = last
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices that hold at most `most` bytes of text, or one row."""
+def text_slices(
+    batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, rows: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that hold at most `most` bytes of text, or one row, and at most `rows` rows."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     first, before = 0, 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        last = min(last, first + rows) if rows else last
         yield batch.slice(first, last - first)
         first, before = last, int(ends[last - 1])
 
