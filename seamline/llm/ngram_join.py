@@ -183,6 +183,8 @@ class Join:
         front = known.select("n", "s1", "s2", "doc_id", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"))
         placed = front.join(self.members, ["n", "s1", "s2"]).where("doc_id = member").distinct()
         groups = placed.groupBy("n", "p1", "p2").agg(F.min("member").alias("g"), F.sum("copies").alias("copies"))
+        # Written: while they are few, Spark sends the groups to the prefixes, which then stay where they are.
+        groups = written(groups)
         self.grouped = written(placed.join(groups.drop("copies"), ["n", "p1", "p2"]).select("g", "member", "n"))
         fronts = known.select(F.col("doc_id").alias("g"), "n", "prefix").join(groups.select("g", "n", "copies"), ["g", "n"])
         tokens = fronts.select("g", "n", "copies", F.posexplode("prefix").alias("pos", "shingle"))
@@ -266,15 +268,18 @@ class Join:
                 at = pa.array(kept, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], ["x", "y"])
 
-        known = self.described.where("n > 0").select("doc_id", "n", "prefix")
+        # Prefixes of the documents in pairs alone are moved to the pairs.
+        ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+        known = written(self.described.where("n > 0").select("doc_id", "n", "prefix").join(ids, "doc_id", "left_semi"))
         both = pairs.join(known.toDF("x", "n", "p"), "x").join(known.toDF("y", "m", "q"), "y")
         return both.select("x", "y", "n", "m", "p", "q").mapInArrow(bound, "x bigint, y bigint").distinct()
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """Similar ones of pairs of members (x, y), with the size of intersection and union."""
         spark = self.documents.sparkSession
+        pairs = written(pairs.where("x <> y").distinct())
         with small_batches(spark):
-            pairs = written(self._possible(pairs.where("x <> y").distinct()))
+            pairs = written(self._possible(pairs))
         wanted = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
         width, percent = self.rule.width, self.rule.percent
 
