@@ -14,6 +14,11 @@ def path_parts(path: Column) -> Column:
     return F.split(path, "/", -1)
 
 
+def path_key(path: Column) -> Column:
+    """A string that orders paths as their parts do, by bytes."""
+    return F.replace(path, F.lit("/"), F.lit("\0"))
+
+
 def extension(path: Column) -> Column:
     """Lower-cased last `.x` of the file name; "" for `.name`, `name.` and no dot."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)\z", 1))

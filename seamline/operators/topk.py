@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seamline.functions.vectors import inner_product
-from seamline.work import literal_rows, work_folder, written
+from seamline.operators.grid import search_all
+from seamline.operators.intervals import INTERVALS_AT_ONCE, Dead, Intervals
+from seamline.work import literal_rows
 
 BLOCK_ROWS = 8192
 BLOCK_BYTES = 64 << 20
-BROADCAST_IDS = 1_000_000
-_GRID = 1e6
+GRID = 1e6
 _TILE = 4 << 20
 _MANY = 1 << 14
 _MERGE_AT_ONCE = 10_000
 _TASKS_PER_CORE = 4
+_TASK_BYTES = 4 << 30
+_MOST_TASKS = 100_000
+_UNKNOWN_BYTES = 1 << 58
 _MERGE_GROUPS = 64
 
 
@@ -29,7 +32,7 @@ def grid_score(score):
     Float sums differ in their last digits with the order of addition, so raw
     scores would order true ties by noise.
     """
-    return F.rint(score * F.lit(_GRID))
+    return F.rint(score * F.lit(GRID))
 
 
 def top_k_single(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -65,21 +68,22 @@ def top_k(
     dim: int,
     block_rows: int = BLOCK_ROWS,
     block_bytes: int = BLOCK_BYTES,
+    dead: Dead | None = None,
 ) -> DataFrame:
     """For each query the k best vectors: query_id, rank, vector_id, score.
 
     queries: query_id, embedding; vectors: vector_id, embedding; vectors have
     unit length and `dim` finite components. A query id that occurs twice or is
     null ends the job: results are told apart by it. Every pair is scored,
-    nothing is sampled.
+    nothing is sampled. Vectors whose id is in `dead` are left out as they are
+    read, so that one scan does, however many they are.
 
-    One side travels to the tasks in blocks of checked size, the other streams
-    past it as matrix products:
-
-    - queries fit one block: vectors stream, each task keeps k rows per query,
-      and only those are shuffled to be merged;
-    - else, vectors fit one block: queries stream, and each row is final;
-    - else: one pass over the vectors per block of queries, each written out.
+    - Queries of one block (checked rows and bytes) go to the tasks, vectors
+      stream past them as matrix products, each task keeps k rows per query, and
+      only those are shuffled to be merged;
+    - else, vectors of one block go to the tasks, queries stream, and each row is
+      final;
+    - else one job deals out the grid of query blocks by parts of the vectors.
 
     Where copies of a vector crowd the candidates, a task reduces them to their k
     lowest ids, the most that can be ranked, so a hot group of copies costs no
@@ -93,52 +97,22 @@ def top_k(
         return literal_rows(queries.sparkSession, hits_type)
     check_query_ids(queries)
     rows = rows_per_block(dim, block_rows, block_bytes, k)
-    if queries.count() > rows and vectors.count() <= rows:
-        return _stream_queries(queries, vectors.toArrow(), k, dim, hits_type)
-    return per_query_block(
-        queries, rows, lambda block: merge_top_k(_stream_vectors(vectors, block, k, dim, hits_type), k)
-    )
+    parts = dead.parts(vectors) if dead else [(vectors, None)]
+    if len(parts) == 1 and queries.count() > rows and vectors.count() <= rows:
+        return _stream_queries(queries, vectors.toArrow(), parts[0][1], k, dim, hits_type)
+    tasks = scan_tasks(vectors)
+    return merge_top_k(search_all(queries, parts, rows, tasks, lambda block: Scan(block, k, dim), hits_type), k, tasks * len(parts))
 
 
 def top_k_without(
-    queries: DataFrame,
-    vectors: DataFrame,
-    dead: DataFrame,
-    n_dead: int,
-    k: int,
-    dim: int,
-    broadcast_ids: int = BROADCAST_IDS,
+    queries: DataFrame, vectors: DataFrame, dead: DataFrame, k: int, dim: int, at_once: int = INTERVALS_AT_ONCE
 ) -> DataFrame:
-    """`top_k` over the vectors whose id is not in `dead` (n_dead distinct ids).
-
-    Up to `broadcast_ids` the dead are sent to the tasks and dropped as vectors
-    are read. A longer list would make that join shuffle every embedding; then
-    more than k are ranked and the dead are dropped from the few hits, again
-    with four times as many for queries that are left with too few. A query is
-    done when k live hits remain or when every vector has been ranked, so both
-    ways give the same rows.
+    """`top_k` over the vectors whose id is in none of the intervals `dead` (first_id, last_id).
+
+    Tasks get up to `at_once` intervals; of more, those for the range of ids that
+    the task reads.
     """
-    check_k(k)
-    if n_dead == 0:
-        return top_k(queries, vectors, k, dim)
-    if n_dead <= broadcast_ids:
-        live = vectors.join(F.broadcast(dead.select("vector_id")), "vector_id", "left_anti")
-        return top_k(queries, live, k, dim)
-    folder, ranked, left, results = work_folder(queries.sparkSession), 2 * k, queries, []
-    while True:
-        number = len(results)
-        hits = written(top_k(left, vectors, ranked, dim), f"{folder}/hits={number}")
-        live = hits.join(dead.select("vector_id"), "vector_id", "left_anti")
-        best = written(merge_top_k(live, k), f"{folder}/best={number}")
-        kept = best.groupBy("query_id").agg(F.count("*").alias("kept"))
-        seen = hits.groupBy("query_id").agg(F.count("*").alias("seen")).join(kept, "query_id", "left")
-        short = (F.col("seen") == ranked) & (F.coalesce("kept", F.lit(0)) < k)
-        again = written(seen.where(short).select("query_id"), f"{folder}/again={number}")
-        results.append(best.join(again, "query_id", "left_anti"))
-        if again.isEmpty():
-            return reduce(DataFrame.unionByName, results)
-        left = written(left.join(again, "query_id", "left_semi"), f"{folder}/queries={number}")
-        ranked *= 4
+    return top_k(queries, vectors, k, dim, dead=Dead(dead, at_once))
 
 
 def check_query_ids(queries: DataFrame) -> None:
@@ -159,53 +133,32 @@ def rows_per_block(
     return max(1, min(block_rows, block_bytes // (4 * dim + 24 * k)))
 
 
-def per_query_block(
-    queries: DataFrame, rows: int, search: Callable[[pa.Table], DataFrame]
-) -> DataFrame:
-    """`search(block)` over all queries, `rows` at a time.
-
-    A single block stays lazy. More are hashed into blocks of about that size;
-    each block's result is written before the next starts, so that memory holds
-    one block however many queries there are.
-    """
-    n = queries.count()
-    if n <= rows:
-        return search(queries.toArrow())
-    spark = queries.sparkSession
-    folder = work_folder(spark)
-    n_blocks = -(-n * 5 // (4 * rows))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
-    hashed = queries.withColumn("block", number)
-    hashed.repartition("block").write.partitionBy("block").parquet(f"{folder}/queries")
-    blocks = spark.read.schema(hashed.schema).parquet(f"{folder}/queries")
-    schema = None
-    for number in range(n_blocks):
-        block = blocks.where(F.col("block") == number).drop("block").toArrow()
-        if block.num_rows:
-            schema = written(search(block), f"{folder}/hits/block={number}").schema
-    return spark.read.schema(schema).parquet(f"{folder}/hits").select(*schema.names)
-
-
-def merge_top_k(hits: DataFrame, k: int) -> DataFrame:
+def merge_top_k(hits: DataFrame, k: int, tasks: int) -> DataFrame:
     """The k best of each query; the window limit also cuts before the shuffle.
 
-    A query has k rows from every task. Where that is much they are first merged
-    in groups of tasks, so that no single task receives all of them.
+    A query has up to k rows from each of `tasks` tasks. Where that is much they
+    are first merged in groups of tasks, so that no single task receives all.
     """
-    if k * scan_tasks(hits.sparkSession) > _MERGE_AT_ONCE:
+    if k * tasks > _MERGE_AT_ONCE:
         group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
         hits = _best_rows(hits.withColumn("_group", group), k, "query_id", "_group")
     best = _best_rows(hits, k, "query_id")
     return best.select("query_id", "rank", "vector_id", "score")
 
 
-def scan_tasks(spark) -> int:
+def scan_tasks(vectors: DataFrame) -> int:
     """A scan for top-k has at most so many tasks, whatever the number of splits.
 
-    Each task hands on k rows per query, so more tasks than keep the cores busy
-    only add to the shuffle; a task that streams many splits also prunes better.
+    Each task hands on k rows per query, so more tasks than bytes ask for only
+    add to the shuffle, and a task that streams many splits prunes better. Bytes
+    set the number, so that a lost task costs little and a cluster that has only
+    begun to grow is not taken for a small one; the cores are the lower bound.
     """
-    return _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    spark = vectors.sparkSession
+    size = int(str(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = _TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    # Spark takes a table whose size it cannot know for larger than any.
+    return max(cores, min(_MOST_TASKS, size // _TASK_BYTES)) if size < _UNKNOWN_BYTES else cores
 
 
 def _best_rows(hits: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -267,7 +220,7 @@ class Best:
         asked = queries[which]
         step = max(1, _TILE // max(1, len(which)))
         pairs = max(1, _TILE // max(1, queries.shape[1]))
-        margin = 2 * (queries.shape[1] + 2) * 2.0**-23 + 2 / _GRID
+        margin = 2 * (queries.shape[1] + 2) * 2.0**-23 + 2 / GRID
         for start in range(0, len(rows), step):
             part, part_ids = rows[start : start + step], ids[start : start + step]
             rough = asked @ part.T
@@ -293,7 +246,7 @@ class Best:
         query = np.concatenate([self.query[old], query])
         vector_id = np.concatenate([self.id[old], vector_id])
         score = np.concatenate([self.score[old], score])
-        order = np.lexsort((vector_id, -np.rint(score * _GRID), query))
+        order = np.lexsort((vector_id, -np.rint(score * GRID), query))
         place = _place_in_group(query[order])
         last = order[place == self.k - 1]
         self.floor[query[last]] = score[last]
@@ -303,7 +256,7 @@ class Best:
         self.score = np.concatenate([self.score[~old], score[keep]])
 
     def batch(self, query_ids: pa.Array) -> pa.RecordBatch:
-        order = np.lexsort((self.id, -np.rint(self.score * _GRID), self.query))
+        order = np.lexsort((self.id, -np.rint(self.score * GRID), self.query))
         query = self.query[order]
         rank = (_place_in_group(query) + 1).astype(np.int32)
         return pa.RecordBatch.from_arrays(
@@ -317,23 +270,24 @@ def column(table: pa.Table, name: str) -> pa.Array:
     return table.column(name).combine_chunks()
 
 
-def _stream_vectors(vectors: DataFrame, block: pa.Table, k: int, dim: int, schema: str) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (column(block, "query_id"), matrix(block.column("embedding"), dim))
-    )
+class Scan:
+    """The best vectors for one block of queries."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        best = Best(len(queries), k)
-        for batch in batches:
-            rows = matrix(batch.column("embedding"), dim)
-            best.add(queries, rows, batch.column("vector_id").to_numpy())
-        yield best.batch(query_ids)
+    def __init__(self, block: pa.Table, k: int, dim: int):
+        self.query_ids, self.dim = column(block, "query_id"), dim
+        self.queries = matrix(block.column("embedding"), dim)
+        self.best = Best(len(self.queries), k)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.best.add(self.queries, matrix(batch.column("embedding"), self.dim), batch.column("vector_id").to_numpy())
 
-    return vectors.coalesce(scan_tasks(vectors.sparkSession)).mapInArrow(scan, schema)
+    def batch(self) -> pa.RecordBatch:
+        return self.best.batch(self.query_ids)
 
 
-def _stream_queries(queries: DataFrame, block: pa.Table, k: int, dim: int, schema: str) -> DataFrame:
+def _stream_queries(queries: DataFrame, block: pa.Table, gone: Intervals | None, k: int, dim: int, schema: str) -> DataFrame:
+    if gone is not None:
+        block = block.filter(pa.array(~gone.hold(column(block, "vector_id").to_numpy())))
     shared = queries.sparkSession.sparkContext.broadcast(
         (column(block, "vector_id").to_numpy(), matrix(block.column("embedding"), dim))
     )

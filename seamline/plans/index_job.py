@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seamline.fixed_values import BATCH_SIZE
 from seamline.functions.embedding import Model, embed_documents, hashing_model, model_name
 from seamline.functions.paths import language
-from seamline.functions.text import count_lines
 from seamline.operators.changes import compare_scan, counters, decide
-from seamline.operators.chunking import chunk_count, chunk_lines
-from seamline.operators.ids import assign_vector_ids
+from seamline.operators.chunking import chunk_lines
+from seamline.operators.ids import assign_vector_ids, in_id_order
+from seamline.operators.intervals import merged
+from seamline.operators.probe import assign_lists, by_list
+from seamline.params import IndexParams
 from seamline.sources.store import COUNTERS, IndexStore
 from seamline.sources.table import TableSource
 from seamline.sources.tree import TreeSource
-from seamline.work import literal_rows, written
+from seamline.work import discard, literal_rows, written
 
 _CHUNKS_PER_TASK = 50_000
 
@@ -31,90 +33,99 @@ def index_files(
     """Bring the stored index in line with `source`; returns the run's counters.
 
     1. Compare path and mtime with the manifest; no text is read.
-    2. Read new and updated files, to count their chunks.
-    3. Hand out vector ids in path order.
-    4. Read those files again and write their chunks in id order.
-    5. Embed the written chunks and write vectors.
+    2. Read new and updated files once and stage their chunks, which stay in the
+       tasks that read them.
+    3. Count chunks by path, decide, and hand out vector ids in path order, all
+       on narrow rows.
+    4. Shuffle the staged chunks once, into ranges of ids, and write them.
+    5. Embed the written chunks and write vectors, by list where the index has
+       lists.
     6. Write the ids that fell out of use and the new manifest, then commit.
 
-    The text of a tree is read twice and never shuffled. Of a table that mostly
-    stayed the same the touched texts are set aside in one scan; where most of
-    it is touched it is scanned twice, and its text shuffled for step 4 only.
-    A failure anywhere before the commit leaves the index as it was.
+    A file is indexed as it was when it was read; if it changes meanwhile, its
+    stored mtime is the earlier one and the next run reads it again. A failure
+    anywhere before the commit leaves the index as it was, and so does another
+    writer's commit in between: the run ends with a Conflict.
     """
-    spark = store.spark
     params = store.params().check()
     size, overlap, dim = params.chunk_size_lines, params.chunk_overlap_lines, params.embedding_dim
     model = load_model or hashing_model(dim)
+    store = store.at()
+    base = store.state()
     store.check_model(dim, model_name(model))
-    before = store.committed()[-1]
-    run_id = store.start_run()
+    run_id = store.log.new_run(base)
 
     scan = source.listing(params.include_extensions)
     compared = written(compare_scan(scan, store.files(), force))
-    is_touched = F.col("state").isin("new", "updated")
-    wanted = [c for c in ("path", "size") if c in compared.columns]
-    touched = written(compared.where(is_touched).select(*wanted))
-    n = compared.agg(F.count_if(is_touched).alias("touched"), F.count("*").alias("all")).first()
-    if 2 * n["touched"] <= n["all"]:
-        source = source.narrowed(touched)
-    counts = source.count(touched, size, overlap)
+    staged, counts = _staged(source, compared, params)
     plan = written(decide(compared.join(counts, "path", "left"), F.col("n_chunks")))
     dropped = F.coalesce(
         F.sum(F.when(F.col("drop_old"), F.col("old_n_chunks"))), F.lit(0)
     ).alias("dropped_chunks")
     totals = plan.agg(*counters(), dropped).first().asDict()
     result = {name: totals[name] for name in COUNTERS}
-    n_chunks, first_id = totals["total_chunks"], store.next_vector_id()
+    n_chunks, n_dropped, first_id = totals["total_chunks"], totals["dropped_chunks"], store.log.next_vector_id(base)
     changed = any(totals[n] for n in ("new_files", "updated_files", "deleted_files", "dropped_chunks"))
+    facts = {}
 
     if n_chunks:
-        store.reserve_ids(run_id, first_id + n_chunks)
-        placed = _write_chunks(store, source, plan, run_id, first_id, n_chunks, size, overlap)
-        store.write_vectors(
-            store.run_chunks(run_id).select(
-                "vector_id",
-                embed_documents(F.col("text"), model, dim, batch_size).alias("embedding"),
-            ),
-            run_id,
-        )
+        store.log.reserve_ids(run_id, first_id + n_chunks)
+        files = plan.where(F.col("action").isin("new", "updated")).select("path", "n_chunks")
+        placed = written(assign_vector_ids(files, first_id))
+        tasks = max(store.spark.sparkContext.defaultParallelism, -(-n_chunks // _CHUNKS_PER_TASK))
+        store.write_chunks(in_id_order(staged, placed, first_id, n_chunks, tasks), run_id)
+        _write_vectors(store, run_id, model, dim, batch_size)
+        facts = dict(next_vector_id=first_id + n_chunks, embedding_dim=dim, embedder=model_name(model))
     else:
-        placed = literal_rows(spark, "path string, first_vector_id bigint")
+        placed = literal_rows(store.spark, "path string, first_vector_id bigint")
     if changed:
-        if totals["dropped_chunks"]:
-            store.write_dead(dead_ids(plan), run_id)
-        store.write_files(next_manifest(plan, placed, run_id), run_id)
-    store.commit(
-        run_id, snapshot=run_id if changed else before.snapshot, next_vector_id=first_id + n_chunks,
-        embedding_dim=dim, embedder=model_name(model), dead_ids=totals["dropped_chunks"], **result,
-    )
-    return literal_rows(spark, ", ".join(f"{name} bigint" for name in COUNTERS), result)
-
-
-def _write_chunks(
-    store: IndexStore, source, plan: DataFrame, run_id: int, first_id: int, n_chunks: int,
-    size: int, overlap: int,
-) -> DataFrame:
-    files = plan.where(F.col("action").isin("new", "updated")).select("path", "n_chunks")
-    placed = written(assign_vector_ids(files, first_id))
-    tasks = max(store.spark.sparkContext.defaultParallelism, -(-n_chunks // _CHUNKS_PER_TASK))
-    texts = source.read_in_id_ranges(placed, first_id, n_chunks, tasks)
-    moved = F.raise_error(F.concat(F.lit("changed while it was indexed: "), F.col("path")))
-    as_planned = chunk_count(count_lines(F.col("text")), size, overlap) == F.col("n_chunks")
-    steady = texts.withColumn("text", F.when(as_planned, F.col("text")).otherwise(moved))
-    chunks = chunk_lines(steady, size, overlap).select(
-        "path", "chunk_no", "start_line", "end_line", "text",
-        (F.col("first_vector_id") + F.col("chunk_no")).alias("vector_id"),
+        if n_dropped:
+            store.write_dead(dropped_ids(plan), run_id)
+        store.write_files(next_manifest(plan, placed.select("path", "first_vector_id"), run_id), run_id)
+        facts.update(snapshot=run_id)
+    runs = base.runs + (run_id,) if n_chunks or n_dropped else base.runs
+    store.log.commit(base, run_id, runs=runs, dead_ids=base.dead_ids + n_dropped, counters=result, **facts)
+    discard(staged)
+    return literal_rows(store.spark, ", ".join(f"{name} bigint" for name in COUNTERS), result)
+
+
+def _staged(source, compared: DataFrame, params: IndexParams) -> tuple[DataFrame, DataFrame]:
+    """The written chunks of all touched files, and their number by path."""
+    is_touched = F.col("state").isin("new", "updated")
+    wanted = [c for c in ("path", "size") if c in compared.columns]
+    touched = written(compared.where(is_touched).select(*wanted))
+    n = compared.agg(F.count_if(is_touched).alias("touched"), F.count_if(F.col("state") != "deleted").alias("listed")).first()
+    all_of_them = n["touched"] == n["listed"]
+    texts = source.read_touched(touched, params.include_extensions, all_of_them)
+    if not n["touched"]:
+        texts = texts.limit(0)
+    staged = written(staged_chunks(texts, params.chunk_size_lines, params.chunk_overlap_lines))
+    counts = written(staged.groupBy("path").agg(F.count("*").cast("int").alias("n_chunks")))
+    for row in counts.join(touched, "path", "left_anti").take(1) if all_of_them else ():
+        raise ValueError(f"the source listed no such file a moment ago: {row['path']}")
+    return staged, counts
+
+
+def staged_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """path, chunk_no, start_line, end_line, text of the files' chunks, where the files are."""
+    return chunk_lines(texts.select("path", "text"), size, overlap)
+
+
+def _write_vectors(store: IndexStore, run_id: int, model: Callable[[], Model], dim: int, batch_size: int) -> None:
+    vectors = store.run_chunks(run_id).select(
+        "vector_id", embed_documents(F.col("text"), model, dim, batch_size).alias("embedding")
     )
-    store.write_chunks(chunks, run_id)
-    return placed.select("path", "first_vector_id")
+    centroids = store.centroids()
+    if centroids is not None:
+        vectors = by_list(assign_lists(vectors, centroids, dim))
+    store.write_vectors(vectors, run_id)
 
 
-def dead_ids(plan: DataFrame) -> DataFrame:
-    """Vector ids of the chunks that updated, emptied and deleted files had."""
+def dropped_ids(plan: DataFrame) -> DataFrame:
+    """Intervals of the vector ids of the chunks that updated, emptied and deleted files had: a row per file."""
     first, n = F.col("old_first_vector_id"), F.col("old_n_chunks")
     gone = plan.where(F.col("drop_old") & (n > 0))
-    return gone.select(F.explode(F.sequence(first, first + n - 1)).alias("vector_id"))
+    return merged(gone.select(first.alias("first_id"), (first + n - 1).alias("last_id")))
 
 
 def next_manifest(plan: DataFrame, placed: DataFrame, run_id: int) -> DataFrame:

@@ -32,7 +32,7 @@ def index_stats(store: IndexStore) -> DataFrame:
     vectors = store.vectors().agg(F.count("*").alias("vector_count"))
     return files.join(vectors).select(
         F.lit(store.path).alias("path"),
-        F.lit(store.embedder() or params.model_name).alias("model_name"),
+        F.lit(store.state().embedder or params.model_name).alias("model_name"),
         F.lit(params.embedding_dim).alias("embedding_dim"),
         "file_count", "chunk_count", "vector_count",
         F.lit(params.chunk_size_lines).alias("chunk_size_lines"),

@@ -1,25 +1,25 @@
 """The stored index: parquet tables of files, chunks and vectors, one part per run.
 
     params/                      one JSON row
-    runs/                        JSON rows: a run starts, reserves ids, commits
-    claims/                      an empty file for each run number that is taken
+    log/, claims/                states and run numbers, see `log`
     files/snapshot=N/            the manifest as run N left it
     chunks/file_version=N/id_block=B/
-    vectors/file_version=N/
-    dead/file_version=N/         ids of vectors that run N took out of use
+    vectors/file_version=N/list_id=L/    L is -1 while there are no lists
+    dead/file_version=N/         intervals of ids that run N took out of use
+    centroids/lists=N/           the centroids of the lists that run N made
 
-A run only adds folders. Its last act is one small row in `runs`; until that
-row is there readers see the state before, and a failed run leaves folders
-that nobody reads. There is one writer at a time.
+A run only adds folders. Its last act is one entry in the log; until that is
+there readers see the state before, and a run that failed, or that another
+writer was ahead of, leaves folders that nobody reads.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamline.operators.vectors import delete_vectors
+from seamline.operators.intervals import Dead, without
 from seamline.params import IndexParams, load_params, save_params
+from seamline.sources.log import Conflict, Log, State
 from seamline.work import literal_rows
 
 FILES = (
@@ -30,13 +30,11 @@ CHUNKS = (
     "path string, chunk_no int, start_line int, end_line int, text string, vector_id bigint, "
     "file_version bigint, id_block bigint"
 )
-VECTORS = "vector_id bigint, embedding array<float>, file_version bigint"
-DEAD = "vector_id bigint, file_version bigint"
+VECTORS = "vector_id bigint, embedding array<float>, file_version bigint, list_id bigint"
+DEAD = "first_id bigint, last_id bigint, file_version bigint"
+CENTROIDS = "list_id bigint, embedding array<float>"
 COUNTERS = ("new_files", "updated_files", "skipped_files", "deleted_files", "total_chunks")
-_RUNS = (
-    "run_id bigint, state string, snapshot bigint, next_vector_id bigint, embedding_dim int, embedder string, "
-    "dead_ids bigint, first_version bigint, " + ", ".join(f"{name} bigint" for name in COUNTERS)
-)
+NO_LIST = -1
 ID_BLOCK = 1 << 22
 _PRUNE_BLOCKS = 1000
 _PRUNE_IDS = 1000
@@ -61,116 +59,65 @@ class IndexStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._seen = None
+        self.log = Log(spark, self.path)
+        self._seen: State | None = None
 
     def at(self, run_id: int | None = None) -> "IndexStore":
         """The index as it is now, or as run `run_id` left it, for several reads that must agree."""
         view = IndexStore(self.spark, self.path)
-        view._seen = [r for r in self.committed() if run_id is None or r.run_id <= run_id]
+        view._seen = self.state() if run_id is None else self._found(self.log.of_run(run_id))
         return view
 
     # -- set-up --------------------------------------------------------------
 
     def create(self, params: IndexParams) -> "IndexStore":
-        """Save parameters; make empty tables unless there are some, which are kept."""
+        """Save parameters; make empty tables unless there is an index, whose tables are kept.
+
+        Of two that create one index the first makes the tables.
+        """
         params.check()
-        save_params(self.spark, params, f"{self.path}/params")
-        if not self._runs():
+        if self.log.newest() is None:
             for table, schema in (("chunks", CHUNKS), ("vectors", VECTORS), ("dead", DEAD)):
-                empty = literal_rows(self.spark, schema).drop("file_version", "id_block")
-                inner = "/id_block=0" if table == "chunks" else ""
+                empty = literal_rows(self.spark, schema).drop("file_version", "id_block", "list_id")
+                inner = {"chunks": "/id_block=0", "vectors": f"/list_id={NO_LIST}"}.get(table, "")
                 empty.write.mode("overwrite").parquet(f"{self.path}/{table}/file_version=0{inner}")
             self.write_files(literal_rows(self.spark, FILES), 0)
-            self._add_run(run_id=0, state="committed", snapshot=0, next_vector_id=0)
+            try:
+                self.log.start(State())
+            except Conflict:
+                pass
+        save_params(self.spark, params, f"{self.path}/params")
         return self
 
     def params(self) -> IndexParams:
         return load_params(self.spark, f"{self.path}/params")
 
-    # -- runs ----------------------------------------------------------------
+    # -- states --------------------------------------------------------------
 
-    def _runs(self) -> list:
-        try:
-            return self.spark.read.schema(_RUNS).json(f"{self.path}/runs").collect()
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error.getCondition()):
-                return []
-            raise
-
-    def _add_run(self, **row) -> None:
-        literal_rows(self.spark, _RUNS, row).write.mode("append").json(f"{self.path}/runs")
-
-    def committed(self) -> list:
-        if self._seen is not None:
-            return self._seen
-        rows = [r for r in self._runs() if r.state == "committed"]
-        if not rows:
+    def _found(self, state: State | None) -> State:
+        if state is None:
             raise FileNotFoundError(f"no index at {self.path}; create it first")
-        return sorted(rows, key=lambda r: r.run_id)
+        return state
 
-    def start_run(self) -> int:
-        """A run id that no other run has had, finished or not.
-
-        The id is claimed by creating a file, which only one of two writers can
-        do; the other takes the next number.
-        """
-        run_id = max(r.run_id for r in self._runs()) + 1
-        while not self._claimed(run_id):
-            run_id += 1
-        self._add_run(run_id=run_id, state="started")
-        return run_id
-
-    def _claimed(self, run_id: int) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/run-{run_id}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path)
-
-    def next_vector_id(self) -> int:
-        """Above every id handed out so far, also by runs that failed."""
-        return max(r.next_vector_id or 0 for r in self._runs())
-
-    def reserve_ids(self, run_id: int, next_vector_id: int) -> None:
-        self._add_run(run_id=run_id, state="reserved", next_vector_id=next_vector_id)
-
-    def commit(self, run_id: int, **facts) -> None:
-        """`facts`: snapshot, next_vector_id, embedding_dim, embedder, dead_ids, the counters, and
-        first_version where the run replaces all parts before it."""
-        self._add_run(run_id=run_id, state="committed", **facts)
-
-    def stored_dim(self) -> int | None:
-        """Dimension of the stored vectors, None while there are none."""
-        dims = {r.embedding_dim for r in self.committed() if r.total_chunks}
-        return dims.pop() if dims else None
-
-    def embedder(self) -> str | None:
-        """The name of the model of the stored vectors, None while there are none."""
-        names = [r.embedder for r in self.committed() if r.total_chunks and r.embedder]
-        return names[-1] if names else None
+    def state(self) -> State:
+        return self._seen or self._found(self.log.newest())
 
     def check_model(self, dim: int, name: str) -> None:
         """Vectors of two models, or of two lengths, must not meet."""
-        if self.stored_dim() not in (None, dim):
-            raise ValueError(f"stored vectors have {self.stored_dim()} components, not {dim}")
-        if self.embedder() not in (None, name):
-            raise ValueError(f"stored vectors come from the model {self.embedder()!r}, not {name!r}")
+        state = self.state()
+        if state.embedding_dim not in (None, dim):
+            raise ValueError(f"stored vectors have {state.embedding_dim} components, not {dim}")
+        if state.embedder not in (None, name):
+            raise ValueError(f"stored vectors come from the model {state.embedder!r}, not {name!r}")
 
     # -- tables --------------------------------------------------------------
 
-    def first_version(self) -> int:
-        """Parts of earlier runs have been replaced by a compaction."""
-        return max(r.first_version or 0 for r in self.committed())
-
-    def _in_use(self) -> list:
-        first = self.first_version()
-        return [r for r in self.committed() if r.run_id >= first]
-
     def _table(self, name: str, schema: str) -> DataFrame:
-        versions = [r.run_id for r in self._in_use()]
         table = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return table.where(F.col("file_version").isin(versions))
+        return table.where(F.col("file_version").isin(list(self.state().runs)))
 
     def files(self) -> DataFrame:
-        snapshot = self.committed()[-1].snapshot
-        return self.spark.read.schema(FILES).parquet(f"{self.path}/files/snapshot={snapshot}")
+        return self.spark.read.schema(FILES).parquet(f"{self.path}/files/snapshot={self.state().snapshot}")
 
     def chunks(self) -> DataFrame:
         """All chunks of committed runs, replaced ones included."""
@@ -195,25 +142,40 @@ class IndexStore:
 
     def vectors(self) -> DataFrame:
         """All vectors of committed runs, orphans included."""
+        return self._table("vectors", VECTORS).drop("list_id")
+
+    def listed_vectors(self) -> DataFrame:
+        """The same with their list; a filter on it leaves folders out."""
         return self._table("vectors", VECTORS)
 
+    def centroids(self) -> DataFrame | None:
+        """list_id, embedding of the lists, None without lists."""
+        made = self.state().lists
+        return None if made is None else self.spark.read.schema(CENTROIDS).parquet(f"{self.path}/centroids/lists={made}")
+
     def dead(self) -> DataFrame:
+        """Intervals (first_id, last_id) of ids out of use."""
         return self._table("dead", DEAD)
 
     def n_dead(self) -> int:
-        return sum(r.dead_ids or 0 for r in self._in_use())
+        return self.state().dead_ids
+
+    def dead_intervals(self) -> Dead | None:
+        """What scans leave out, None where that is nothing."""
+        return Dead(self.dead()) if self.n_dead() else None
 
     def live_vectors(self) -> DataFrame:
         """Vectors whose chunk is in use."""
-        return delete_vectors(self.vectors(), self.dead())
+        dead = self.dead_intervals()
+        return without(self.vectors(), dead) if dead else self.vectors()
 
     def write_files(self, files: DataFrame, run_id: int) -> None:
         columns = [c.split()[0] for c in FILES.split(", ")]
         files.select(*columns).write.mode("overwrite").parquet(f"{self.path}/files/snapshot={run_id}")
 
     def write_chunks(self, chunks: DataFrame, run_id: int) -> None:
-        """Ordered by id in each file; leading with the folder column, the order is
-        also the one that the write asks for, so rows are sorted once."""
+        """Rows that come ordered by id inside their partitions stay so in each file; leading
+        with the folder column, that is also the order the write asks for: rows are sorted once."""
         blocked = chunks.withColumn("id_block", F.expr(f"vector_id div {ID_BLOCK}"))
         ordered = blocked.sortWithinPartitions("id_block", "vector_id")
         ordered.write.mode("overwrite").partitionBy("id_block").parquet(
@@ -227,9 +189,16 @@ class IndexStore:
         )
 
     def write_vectors(self, vectors: DataFrame, run_id: int) -> None:
-        vectors.select("vector_id", "embedding").write.mode("overwrite").parquet(
-            f"{self.path}/vectors/file_version={run_id}"
-        )
+        """vector_id, embedding and, with lists, list_id."""
+        columns = ["vector_id", "embedding"]
+        target = f"{self.path}/vectors/file_version={run_id}"
+        if "list_id" in vectors.columns:
+            vectors.select(*columns, "list_id").write.mode("overwrite").partitionBy("list_id").parquet(target)
+        else:
+            vectors.select(*columns).write.mode("overwrite").parquet(f"{target}/list_id={NO_LIST}")
+
+    def write_centroids(self, centroids: DataFrame, run_id: int) -> None:
+        centroids.select("list_id", "embedding").write.mode("overwrite").parquet(f"{self.path}/centroids/lists={run_id}")
 
-    def write_dead(self, ids: DataFrame, run_id: int) -> None:
-        ids.select("vector_id").write.mode("overwrite").parquet(f"{self.path}/dead/file_version={run_id}")
+    def write_dead(self, intervals: DataFrame, run_id: int) -> None:
+        intervals.select("first_id", "last_id").write.mode("overwrite").parquet(f"{self.path}/dead/file_version={run_id}")

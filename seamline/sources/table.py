@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamline.fixed_values import EXCLUDED_FOLDERS, INCLUDE_EXTENSIONS
 from seamline.functions.text import decode_utf8, unix_newlines
-from seamline.operators.chunking import count_chunks
 from seamline.operators.files import keep_files
-from seamline.operators.ids import in_id_ranges
-from seamline.work import written
 
 
 class TableSource:
@@ -41,13 +38,13 @@ class TableSource:
         """
         return files.join(self._texts(), "path")
 
-    def count(self, files: DataFrame, size: int, overlap: int) -> DataFrame:
-        """path, n_chunks of the files; counted while scanning, text stays put."""
-        return files.select("path").join(count_chunks(self._texts(), size, overlap), "path")
+    def read_touched(self, touched: DataFrame, extensions: Iterable[str], all_of_them: bool) -> DataFrame:
+        """path, text of the touched files.
 
-    def narrowed(self, files: DataFrame) -> "TableSource":
-        """The source of these files alone, written out: later reads scan only them."""
-        return TableSource(written(self.read(files.select("path"))), self.excluded)
-
-    def read_in_id_ranges(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
-        return in_id_ranges(self.read(files), first_id, n_chunks, tasks)
+        Where all files of the listing are touched, none needs to be looked up
+        and the scan is all there is. Else the list is joined: broadcast while
+        Spark sees that it is small, so that other text stays put.
+        """
+        if all_of_them:
+            return keep_files(self._texts(), extensions, self.excluded)
+        return touched.select("path").join(self._texts(), "path")

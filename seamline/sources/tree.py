@@ -14,9 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.fixed_values import EXCLUDED_FOLDERS, INCLUDE_EXTENSIONS
-from seamline.operators.chunking import count_chunks
 from seamline.operators.files import keep_files
-from seamline.operators.ids import in_id_ranges
 from seamline.work import literal_rows, work_folder, written
 
 _ENTRY = "path string, is_folder boolean, mtime double, size bigint"
@@ -79,16 +77,9 @@ class TreeSource:
         tasks = max(self.spark.sparkContext.defaultParallelism, total // _BYTES_PER_TASK)
         return self.read(files.repartition(int(tasks), "path"))
 
-    def count(self, files: DataFrame, size: int, overlap: int) -> DataFrame:
-        """path, n_chunks of the files."""
-        return count_chunks(self.read_all(files), size, overlap).select("path", "n_chunks")
-
-    def narrowed(self, files: DataFrame) -> "TreeSource":
-        """Itself: files are read one by one in any case."""
-        return self
-
-    def read_in_id_ranges(self, files: DataFrame, first_id: int, n_chunks: int, tasks: int) -> DataFrame:
-        return self.read(in_id_ranges(files, first_id, n_chunks, tasks))
+    def read_touched(self, touched: DataFrame, extensions: Iterable[str], all_of_them: bool) -> DataFrame:
+        """path, text of the touched files (with a `size`), read one by one, spread by their bytes."""
+        return self.read_all(touched).select("path", "text")
 
 
 def _tried(action):

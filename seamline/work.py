@@ -33,6 +33,14 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a written table that was read for the last time."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(table: DataFrame, key: str) -> DataFrame:
     """Deal a table of fewer files than cores out by `key`.
 

@@ -51,7 +51,7 @@ def consistent(store):
     assert checks.duplicates(store.files(), "path").isEmpty()
     assert checks.broken_references(chunks, store.files()).isEmpty()
     orphans = {r.vector_id for r in checks.orphan_vectors(store.vectors(), chunks).collect()}
-    assert orphans == {r.vector_id for r in store.dead().collect()}
+    assert orphans == {i for r in store.dead().collect() for i in range(r.first_id, r.last_id + 1)}
     assert store.n_dead() == len(orphans)
     planned = store.files().agg(F.sum("n_chunks")).first()[0] or 0
     assert planned == len(ids)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from seamline.functions.embedding import embed_documents, embed_queries, hashing_model
 from seamline.functions.vectors import inner_product, l2_normalise
+from seamline.operators import probe
+from seamline.operators.intervals import Dead, Intervals, merged, without
 from seamline.operators.probe import assign_lists, top_k_probe, train_centroids
 from seamline.operators.topk import Best, top_k, top_k_single, top_k_without
 from seamline.operators.vectors import add_vectors, cut_vectors, delete_vectors
@@ -122,24 +124,89 @@ def test_text_query_ids(spark, data):
     assert hits == {f"q{q}": ids for q, ids in brute_force(queries, vectors, 3).items()}
 
 
-@pytest.mark.parametrize("broadcast_ids", [10_000, 0])
-def test_dead_vectors(spark, data, broadcast_ids):
-    """The hot copies are dead but for a few, so queries need several rounds."""
+def test_blocks_are_a_grid_in_one_plan(spark, data):
+    """Any number of query blocks is one plan without a broadcast of queries, and gives the same rows."""
     queries, vectors = data
-    dead = [i for i in range(len(vectors)) if i % 3 == 0 and i < 590]
-    ids = spark.createDataFrame([(i,) for i in dead], "vector_id bigint")
-    hits = top_k_without(
-        table(spark, queries, "query_id"), table(spark, vectors), ids, len(dead), 5, DIM, broadcast_ids
-    )
-    gone = set(dead)
+    hits = top_k(table(spark, queries, "query_id"), table(spark, vectors), 7, DIM, block_rows=3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CartesianProduct") == 1 and "Broadcast" not in plan
+    assert ranked(hits) == brute_force(queries, vectors, 7)
+
+
+def test_rows_of_bytes_come_one_by_one(spark, monkeypatch):
+    """A cell of the grid holds one chunk at a time: long rows do not share a batch."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    long_rows = spark.range(6).select(F.expr("cast(repeat('x', 40000000) as binary)").alias("data")).coalesce(1)
+    assert max(r.n for r in long_rows.mapInArrow(sizes, "n bigint").collect()) <= 2
+
+
+def as_dead(spark, ids):
+    return spark.createDataFrame([(i, i) for i in ids], "first_id bigint, last_id bigint").repartition(3)
+
+
+@pytest.mark.parametrize("at_once", [10_000, 20])
+@pytest.mark.parametrize("block_rows", [8192, 9])
+def test_dead_vectors(spark, data, at_once, block_rows):
+    """The hot copies are dead but for a few; slices of the intervals share out the vectors."""
+    queries, vectors = data
+    gone = {i for i in range(len(vectors)) if i % 3 == 0 and i < 590}
+    dead = Dead(as_dead(spark, gone), at_once)
+    assert dead.n == len(gone) and (len(dead.bounds) > 0) == (at_once == 20)
+    hits = top_k(table(spark, queries, "query_id"), table(spark, vectors), 5, DIM, block_rows=block_rows, dead=dead)
     assert ranked(hits) == brute_force(queries, vectors, 5, lambda q, i: i not in gone)
+    kept = without(table(spark, vectors), dead)
+    assert sorted(r.vector_id for r in kept.collect()) == [i for i in range(len(vectors)) if i not in gone]
+
+
+def test_most_vectors_dead_take_one_scan(spark, data):
+    """Each vector is read once, whatever share is dead; slices read their own range of ids."""
+    queries, vectors = data
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    stored = written(table(spark, vectors))
+    alive = {5, 17, 300, 301, 599}
+    gone = as_dead(spark, [i for i in range(len(vectors)) if i not in alive])
+    watched = stored.mapInArrow(counted, "vector_id bigint, embedding array<float>")
+    hits = top_k_without(table(spark, queries, "query_id"), watched, gone, 7, DIM)
+    assert ranked(hits) == brute_force(queries, vectors, 7, lambda q, i: i in alive)
+    assert read.value == len(vectors)
+    sliced = Dead(gone, 2)
+    assert 1 < len(sliced.bounds) + 1 <= sliced.n
+    parts = sliced.parts(stored)
+    assert sum(rows.count() for rows, _ in parts) == len(vectors)
+    assert all("vector_id," in rows._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1] for rows, _ in parts)
+    hits = top_k_without(table(spark, queries, "query_id"), stored, gone, 7, DIM, 2)
+    assert ranked(hits) == brute_force(queries, vectors, 7, lambda q, i: i in alive)
+
+
+def test_intervals(spark):
+    """Touching and overlapping intervals become one; the union is kept."""
+    rng = np.random.default_rng(2)
+    rows = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 3000, 300), rng.integers(0, 9, 300))] + [(5, 5), (6, 6), (7, 9)]
+    ids = {i for a, b in rows for i in range(a, b + 1)}
+    table_ = spark.createDataFrame(rows, "first_id bigint, last_id bigint").repartition(4)
+    found = [tuple(r) for r in merged(table_).collect()]
+    assert {i for a, b in found for i in range(a, b + 1)} == ids and len(found) < len(rows)
+    own = sorted(found)
+    held = Intervals(np.array([a for a, _ in own]), np.array([b for _, b in own])).hold(np.arange(-3, 3100))
+    assert held.tolist() == [i in ids for i in range(-3, 3100)]
+    none = Intervals(np.empty(0, np.int64), np.empty(0, np.int64))
+    assert not none.hold(np.arange(3)).any() and merged(table_.limit(0)).count() == 0
 
 
 def test_all_vectors_dead(spark, data):
     queries, vectors = data
-    ids = table(spark, vectors).select("vector_id")
     q = table(spark, queries, "query_id")
-    assert top_k_without(q, table(spark, vectors), ids, len(vectors), 5, DIM, 0).isEmpty()
+    everything = spark.createDataFrame([(0, len(vectors))], "first_id bigint, last_id bigint")
+    assert top_k_without(q, table(spark, vectors), everything, 5, DIM).isEmpty()
 
 
 def test_wrong_length_ends_the_job(spark, data):
@@ -164,6 +231,43 @@ def test_probe(spark, data):
     assert ranked(every) == brute_force(queries, vectors, 5)
 
 
+def test_centroids_in_many_blocks(spark, data):
+    """Centroids beyond one block give the same lists, ties to the lower id."""
+    _, vectors = data
+    centers = unit(np.random.default_rng(4).standard_normal((40, DIM)))
+    centers[17] = centers[3]
+    centroids = written(table(spark, centers, "list_id"))
+    want = {i: ids[0] for i, ids in brute_force(vectors, centers, 1).items()}
+    for block_bytes in (1 << 20, 4 * DIM * 9):
+        listed = assign_lists(table(spark, vectors), centroids, DIM, block_bytes)
+        assert listed.columns == ["vector_id", "embedding", "list_id"]
+        assert {r.vector_id: r.list_id for r in listed.collect()} == want
+    with pytest.raises(ValueError, match="no centroids"):
+        assign_lists(table(spark, vectors), centroids.limit(0), DIM)
+
+
+@pytest.mark.parametrize("named", [1000, 0])
+@pytest.mark.parametrize("block_rows", [8192, 6])
+def test_probe_of_partitioned_lists(spark, data, tmp_path, monkeypatch, named, block_rows):
+    """Folders of lists that no query probes are not read, by a filter or by pruning at run time."""
+    queries, vectors = data
+    monkeypatch.setattr(probe, "_NAMED_LISTS", named)
+    centers = unit(np.random.default_rng(9).standard_normal((12, DIM)))
+    centroids = written(table(spark, centers, "list_id"))
+    assign_lists(table(spark, vectors), centroids, DIM).write.partitionBy("list_id").parquet(str(tmp_path / "listed"))
+    listed = spark.read.schema("vector_id bigint, embedding array<float>, list_id bigint").parquet(str(tmp_path / "listed"))
+    lists = {r.vector_id: r.list_id for r in listed.collect()}
+    few = queries[:10]
+    probed = brute_force(few, centers, 2)
+    gone = set(range(0, 600, 7))
+    hits = top_k_probe(table(spark, few, "query_id"), listed, centroids, 5, 2, DIM, block_rows, Dead(as_dead(spark, gone)))
+    expected = brute_force(few, vectors, 5, lambda q, i: lists[i] in probed[q] and i not in gone)
+    assert ranked(hits) == {q: ids for q, ids in expected.items() if ids}
+    plan = probe.probed_lists(listed, written(spark.createDataFrame([(3,), (5,)], "list_id bigint")))._jdf.queryExecution().executedPlan().toString()
+    part = plan.split("PartitionFilters: ")[1].split("\n")[0]
+    assert "list_id" in part and ("dynamicpruning" in part.lower()) == (named == 0)
+
+
 def test_trained_centroids(spark, data):
     _, vectors = data
     centers = train_centroids(table(spark, vectors), 4)

@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 
 from seamline.functions.embedding import embed_documents, hashing_model, model_name
 from seamline.operators import topk
+from seamline.operators.changes import live_chunks
+from seamline.operators.grid import search_all
 from seamline.operators.hits import attach_content
 from seamline.operators.topk import top_k, top_k_single
 from seamline.operators.vectors import add_vectors
 from seamline.params import IndexParams
-from seamline.plans import search_job
+from seamline.operators.ids import assign_vector_ids, in_id_order
+from seamline.plans import index_job, search_job
 from seamline.plans.compact_job import compact_index, drop_old_parts
 from seamline.plans.index_job import index_files
 from seamline.plans.search_job import search_chunks, search_index
 from seamline.plans.stats_job import index_stats
 from seamline.sources import store as store_module, tree
+from seamline.sources.log import Conflict, Files, Log, State
 from seamline.sources.store import IndexStore
 from seamline.sources.table import TableSource
 from seamline.sources.tree import TreeSource
+from seamline.work import written
 
 PARAMS = IndexParams(embedding_dim=128, chunk_size_lines=3, chunk_overlap_lines=1)
 NAN, INF = float("nan"), float("inf")
@@ -116,14 +121,14 @@ def test_a_commit_during_a_search_changes_nothing(spark, tmp_path, monkeypatch):
     store, source = indexed(spark, tmp_path / "index", texts(6))
     queries = spark.createDataFrame([(1, "text 3 line")], "query_id int, query string")
     want = sorted(map(tuple, search_index(store, queries, 5).collect()))
-    plain = search_job.top_k_without
+    plain = search_job.top_k
 
-    def with_commit(*arguments):
-        hits = plain(*arguments)
+    def with_commit(*arguments, **options):
+        hits = plain(*arguments, **options)
         index_files(store, source, force=True)
         return hits
 
-    monkeypatch.setattr(search_job, "top_k_without", with_commit)
+    monkeypatch.setattr(search_job, "top_k", with_commit)
     assert sorted(map(tuple, search_index(store, queries, 5).collect())) == want and len(want) == 5
     first = store.at(1)
     assert first.files().agg(F.max("file_version")).first()[0] == 1
@@ -205,9 +210,11 @@ def test_many_splits_shuffle_few_rows(spark):
     rows = [(i, v) for i, v in enumerate(rng.normal(size=(400, 4)).tolist())]
     many = vectors(spark, rows).repartition(100)
     hits = top_k(vectors(spark, rows[:3], "query_id"), many, 5, 4)
-    scan = topk._stream_vectors(many, vectors(spark, rows[:3], "query_id").toArrow(), 5, 4, topk.hits_schema(vectors(spark, rows[:3], "query_id")))
-    assert scan.rdd.getNumPartitions() <= topk.scan_tasks(spark)
-    assert scan.count() <= 3 * 5 * topk.scan_tasks(spark)
+    queries = vectors(spark, rows[:3], "query_id")
+    tasks = topk.scan_tasks(many)
+    scan = search_all(queries, [(many, None)], 8, tasks, lambda block: topk.Scan(block, 5, 4), topk.hits_schema(queries))
+    assert scan.rdd.getNumPartitions() <= tasks == 4 * spark.sparkContext.defaultParallelism
+    assert scan.count() <= 3 * 5 * tasks
     best = {r.query_id: r.vector_id for r in hits.where("rank = 1").collect()}
     matrix = np.array([v for _, v in rows], np.float32)
     assert best == {q: int(np.argmax(matrix @ matrix[q])) for q in range(3)}
@@ -235,5 +242,172 @@ def test_compaction(spark, tmp_path):
 
 def test_a_run_number_is_claimed_once(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index")).create(PARAMS)
-    assert store._claimed(1) and not store._claimed(1)
-    assert store.start_run() == 2
+    assert [store.log.new_run(store.state()) for _ in range(3)] == [1, 2, 3]
+
+
+def paused(monkeypatch, store, meanwhile):
+    """Runs `meanwhile` inside the next index run, when it has written its vectors."""
+    plain, once = IndexStore.write_vectors, []
+
+    def write(self, *arguments):
+        plain(self, *arguments)
+        if not once:
+            once.append(1)
+            meanwhile()
+
+    monkeypatch.setattr(IndexStore, "write_vectors", write)
+
+
+def state_of(store):
+    files = sorted(map(tuple, store.files().collect()))
+    chunks = sorted((r.path, r.chunk_no, r.text) for r in live_chunks(store.chunks(), store.files()).collect())
+    return files, chunks, sorted(r.vector_id for r in store.live_vectors().collect())
+
+
+@pytest.mark.parametrize("other", ["index", "compact"])
+def test_of_two_writers_the_later_is_refused(spark, tmp_path, monkeypatch, other):
+    """Nothing that was committed is lost, and nothing of the refused run is read."""
+    store, source = indexed(spark, tmp_path / "index", texts(4))
+    more = TableSource(spark.createDataFrame(texts(7), "path string, mtime double, text string"))
+    seen = []
+
+    def meanwhile():
+        index_files(store, more) if other == "index" else compact_index(store)
+        drop_old_parts(store)
+        seen.append(state_of(store))
+
+    paused(monkeypatch, store, meanwhile)
+    with pytest.raises(Conflict, match="another writer"):
+        index_files(store, source, force=True)
+    assert state_of(store) == seen[0] and len(seen[0][0]) == (7 if other == "index" else 4)
+    # The next run begins from what is there, with ids that neither has used.
+    assert index_files(store, source, force=True).first().updated_files == 4
+    assert len(state_of(store)[2]) == index_stats(store).first().chunk_count
+
+
+def test_a_compaction_is_refused_after_an_index_run(spark, tmp_path, monkeypatch):
+    store, source = indexed(spark, tmp_path / "index", texts(4))
+    paused(monkeypatch, store, lambda: index_files(store, source, force=True))
+    with pytest.raises(Conflict):
+        compact_index(store)
+    assert store.state().run_id == 3 and store.n_dead() == store.live_vectors().count() == 12
+
+
+def test_reading_the_log_does_not_grow_with_runs(spark, tmp_path, monkeypatch):
+    log = Log(spark, str(tmp_path / "index"))
+    log.start(State())
+    state = log.newest()
+    for run in range(1, 25):
+        state = log.commit(state, run)
+    looked = []
+    plain = Files.has
+    monkeypatch.setattr(Files, "has", lambda self, name: looked.append(name) or plain(self, name))
+    monkeypatch.setattr(Files, "names", lambda self: 1 / 0)
+    assert log.newest() == state and len(looked) <= 5
+    # A hint that lags behind, or is lost, only costs a look at more entries.
+    monkeypatch.undo()
+    log._log.write("newest", "11", replace=True)
+    assert log.newest() == state
+    log._log._system.delete(log._log._path("newest"), False)
+    assert log.newest() == state and log.of_run(7).run_id == 7
+    with pytest.raises(Conflict):
+        log.commit(log.read(20), 99)
+
+
+def test_a_claim_whose_writer_died(spark, tmp_path):
+    store, source = indexed(spark, tmp_path / "index", texts(3))
+    number = store.state().number
+    assert store.log._log.claim(f"{number + 1:020d}.claim")
+    with pytest.raises(Conflict):
+        index_files(store, source, force=True)
+    assert store.log.give_up(number + 1).run_id == 1
+    with pytest.raises(ValueError):
+        store.log.give_up(number + 1)
+    assert index_files(store, source, force=True).first().updated_files == 3
+
+
+def test_text_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """A first load reads its table once without an exchange; staged chunks meet one, into ranges of ids."""
+    plans = []
+    plain, staging = IndexStore.write_chunks, index_job.staged_chunks
+
+    def write(self, chunks, run_id):
+        plans.append(chunks._jdf.queryExecution().executedPlan().toString())
+        plain(self, chunks, run_id)
+
+    def stage(*arguments):
+        chunks = staging(*arguments)
+        plans.append(chunks._jdf.queryExecution().executedPlan().toString())
+        return chunks
+
+    monkeypatch.setattr(IndexStore, "write_chunks", write)
+    monkeypatch.setattr(index_job, "staged_chunks", stage)
+    indexed(spark, tmp_path / "index", texts(9))
+    assert "Exchange" not in plans[0]
+    assert plans[1].count("Exchange ") == 1 and "Join" not in plans[1]
+
+
+def test_a_file_that_changes_is_indexed_as_read(spark, tmp_path, monkeypatch):
+    """Between listing and reading, and after reading: the run ends well and the next one catches up."""
+    root = tmp_path / "root"
+    root.mkdir()
+    for i in range(3):
+        (root / f"f{i}.py").write_text("".join(f"old {i} {j}\n" for j in range(5)))
+        os.utime(root / f"f{i}.py", (100.0, 100.0))
+    store = IndexStore(spark, str(tmp_path / "index")).create(PARAMS)
+    source = TreeSource(spark, str(root))
+    plain = TreeSource.read_touched
+
+    def longer(self, *arguments):
+        (root / "f1.py").write_text("".join(f"new {j}\n" for j in range(11)))
+        os.utime(root / "f1.py", (200.0, 200.0))
+        (root / "f2.py").unlink()
+        return plain(self, *arguments)
+
+    monkeypatch.setattr(TreeSource, "read_touched", longer)
+    assert index_files(store, source).first().new_files == 2
+    monkeypatch.undo()
+    rows = {r.path: r for r in store.files().collect()}
+    assert rows["f1.py"].mtime == 100.0 and rows["f1.py"].n_chunks == 6 and "f2.py" not in rows
+    assert index_files(store, source).first().updated_files == 1
+    assert len(state_of(store)[2]) == index_stats(store).first().chunk_count == 3 + 6
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 7, 1000])
+def test_ids_of_ranges(spark, tasks):
+    """Ids are the places in path and chunk order, also where one file is most of the chunks."""
+    sizes = {"a/b": 3, "a-b": 1, "a": 40, "b/0": 0, "b/1": 1, "b": 2, "z\u00e9": 5}
+    files = spark.createDataFrame(list(sizes.items()), "path string, n_chunks int")
+    chunks = spark.createDataFrame([(p, i, f"{p} {i}") for p, n in sizes.items() for i in range(n)], "path string, chunk_no int, text string")
+    placed = written(assign_vector_ids(files, 100))
+    found = in_id_order(chunks.repartition(5), placed, 100, sum(sizes.values()), tasks)
+    order = [f"{p} {i}" for p in sorted(sizes, key=lambda p: p.split("/")) for i in range(sizes[p])]
+    assert {r.text: r.vector_id for r in found.collect()} == {t: 100 + i for i, t in enumerate(order)}
+    assert found.rdd.getNumPartitions() <= tasks
+
+
+def test_lists_of_the_stored_index(spark, tmp_path):
+    """Later runs keep the lists up; all lists give the exact result; few lists read few folders."""
+    store, source = indexed(spark, tmp_path / "index", texts(30))
+    queries = spark.createDataFrame([(i, f"text {i} line {i % 5}") for i in range(12)], "query_id int, query string")
+    with pytest.raises(ValueError, match="no lists"):
+        search_index(store, queries, 5, n_probe=1)
+    compact_index(store, n_lists=6)
+    changed = texts(30)[5:] + [(p, 2.0, t + "one more\n") for p, _, t in texts(5)] + texts(33, "late")[30:]
+    index_files(store, TableSource(spark.createDataFrame(changed, "path string, mtime double, text string")))
+    assert store.state().lists == 2 and store.n_dead() == 15
+    listed = store.listed_vectors().where("file_version = 3").collect()
+    assert listed and all(0 <= r.list_id < 6 for r in listed)
+    rows = lambda **options: sorted(map(tuple, search_index(store, queries, 5, **options).collect()))
+    exact = rows()
+    assert rows(n_probe=6) == exact
+    # Recall grows with the lists probed.
+    recall = [len(set(r[:3] for r in rows(n_probe=n)) & set(r[:3] for r in exact)) / len(exact) for n in (1, 3, 6)]
+    assert 0 < recall[0] <= recall[1] <= recall[2] == 1
+    # A compaction keeps the lists, or drops them.
+    compact_index(store)
+    assert rows(n_probe=6) == exact and store.state().lists == 2
+    drop_old_parts(store)
+    assert rows(n_probe=6) == exact
+    compact_index(store, n_lists=0)
+    assert store.centroids() is None and rows() == exact
