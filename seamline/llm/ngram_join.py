@@ -28,25 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.llm.components import components
-from seamline.llm.texts import mixed, text_slices, utf8_bytes, word_hashes
+from seamline.llm.texts import mixed, text_slices, tidy, utf8_bytes, word_hashes
 from seamline.work import written
 
 #: At most so many shingles are moved to the end of the order; their hashes (8 bytes each) are broadcast.
 FREQUENT = 1 << 16
 #: Shingles that a task remembers before it passes on those that it has met twice.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 
-#: Whole sets and prefixes go to the tasks in batches of so many rows and bytes.
-PAIRS_AT_ONCE = 500
-_PAIR_BYTES = 8 << 20
+#: Texts, whole sets and prefixes go to the tasks in batches of so many rows and bytes.
+ROWS_AT_ONCE = 500
+_BATCH_BYTES = 4 << 20
 
 _WEIGHTS = [mixed(np.array([i + 1], np.uint64))[0] for i in range(64)]
 
 
 @contextmanager
 def small_batches(spark):
-    """Rows that carry whole sets are long: what is written inside sends few of them to Python at once."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": PAIRS_AT_ONCE, "spark.sql.execution.arrow.maxBytesPerBatch": _PAIR_BYTES}
+    """Rows that carry texts or whole sets are long: what is written inside sends few of them to Python at once."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_AT_ONCE, "spark.sql.execution.arrow.maxBytesPerBatch": _BATCH_BYTES}
     before = {name: spark.conf.get(name) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, str(value))
@@ -111,7 +111,7 @@ def frequent_shingles(documents: DataFrame, rule: Similarity) -> np.ndarray:
         if held:
             yield flush()
 
-    counts = documents.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = documents.select("text").mapInArrow(tidy(count), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     most = counts.where("n >= 8").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     return np.sort(most.column("shingle").to_numpy().view(np.uint64))
 
@@ -142,7 +142,7 @@ def member_sets(documents: DataFrame, rule: Similarity, frequent: np.ndarray) ->
                 )
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return written(rows.mapInArrow(describe, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"))
+    return written(rows.mapInArrow(tidy(describe), "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"))
 
 
 def most_common(p: np.ndarray, q: np.ndarray, n: int, m: int, late: np.ndarray) -> int:
@@ -272,14 +272,12 @@ class Join:
         ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
         known = written(self.described.where("n > 0").select("doc_id", "n", "prefix").join(ids, "doc_id", "left_semi"))
         both = pairs.join(known.toDF("x", "n", "p"), "x").join(known.toDF("y", "m", "q"), "y")
-        return both.select("x", "y", "n", "m", "p", "q").mapInArrow(bound, "x bigint, y bigint").distinct()
+        return both.select("x", "y", "n", "m", "p", "q").mapInArrow(tidy(bound), "x bigint, y bigint").distinct()
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """Similar ones of pairs of members (x, y), with the size of intersection and union."""
-        spark = self.documents.sparkSession
         pairs = written(pairs.where("x <> y").distinct())
-        with small_batches(spark):
-            pairs = written(self._possible(pairs))
+        pairs = written(self._possible(pairs))
         wanted = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
         width, percent = self.rule.width, self.rule.percent
 
@@ -290,7 +288,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "own"])
 
         texts = self.documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(written(wanted), "doc_id", "left_semi")
-        sets = written(texts.mapInArrow(pack, "doc_id bigint, own binary"))
+        sets = written(texts.mapInArrow(tidy(pack), "doc_id bigint, own binary"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -311,8 +309,7 @@ class Join:
 
         both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("own").alias("one")), "x")
         both = both.join(sets.select(F.col("doc_id").alias("y"), F.col("own").alias("two")), "y").select("x", "y", "one", "two")
-        with small_batches(spark):
-            return written(both.mapInArrow(compare, "a bigint, b bigint, common bigint, either bigint"))
+        return written(both.mapInArrow(tidy(compare), "a bigint, b bigint, common bigint, either bigint"))
 
     def inside_pairs(self) -> DataFrame:
         """Members of a group with the group's first member."""
@@ -329,9 +326,10 @@ def jaccard_components(documents: DataFrame, rule: Similarity = Similarity()) ->
     doc_id gets a null component and links with nothing. Rows that repeat a
     doc_id all take part under that id and get a row each.
     """
-    join = Join(documents, rule)
-    links = rounds(join)
-    found = written(components(links.select("a", "b")))
+    with small_batches(documents.sparkSession):
+        join = Join(documents, rule)
+        links = rounds(join)
+        found = written(components(links.select("a", "b")))
     copies = join.described.where("n > 0 and doc_id is not null").select("n", "s1", "s2", "doc_id")
     placed = copies.join(join.members.drop("copies"), ["n", "s1", "s2"]).select("doc_id", "member").distinct()
     placed = placed.join(found.withColumnRenamed("id", "member"), "member", "left")
@@ -365,10 +363,11 @@ def jaccard_links(documents: DataFrame, rule: Similarity = Similarity()) -> tupl
 
     `member` is the smallest doc_id with the same set and stands for all of them.
     """
-    join = Join(documents, rule)
-    pairs = join.grouped.select("g", F.col("member").alias("x"))
-    inside = pairs.join(pairs.select("g", F.col("x").alias("y")), "g").where("x < y").select("x", "y")
-    links = join.verified(join.all_pairs(None)).unionAll(join.checked(inside))
+    with small_batches(documents.sparkSession):
+        join = Join(documents, rule)
+        pairs = join.grouped.select("g", F.col("member").alias("x"))
+        inside = pairs.join(pairs.select("g", F.col("x").alias("y")), "g").where("x < y").select("x", "y")
+        links = join.verified(join.all_pairs(None)).unionAll(join.checked(inside))
     copies = join.described.where("n > 0 and doc_id is not null")
     members = copies.join(join.members.drop("copies"), ["n", "s1", "s2"]).select("doc_id", "member", F.col("n").alias("n_shingles"))
     return links, members

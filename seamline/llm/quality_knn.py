@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.llm.labelled import binary_labels, fold, sampled_ids, sampled_texts, summed
-from seamline.llm.texts import text_slices, utf8_bytes, word_hashes
+from seamline.llm.texts import text_slices, tidy, utf8_bytes, word_hashes
 
 N_GRAMS = 2048
 LEVELS = 8
@@ -114,7 +114,7 @@ def document_counts(documents: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
-    return np.array(summed(documents.select("text").mapInArrow(count, "term int, n double"), N_TERMS + 1))
+    return np.array(summed(documents.select("text").mapInArrow(tidy(count), "term int, n double"), N_TERMS + 1))
 
 
 @dataclass
@@ -160,7 +160,7 @@ def fit_neighbours(documents: DataFrame, labels: DataFrame, per_label: int = PER
                     [part.column("doc_id"), part.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "row"]
                 )
 
-    sample = sampled_texts(documents, ids).mapInArrow(rows, "doc_id bigint, label int, row binary")
+    sample = sampled_texts(documents, ids).mapInArrow(tidy(rows), "doc_id bigint, label int, row binary")
     # Bounded by the parameter: 2 x per_label rows of N_TERMS half floats.
     table = sample.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     if not table.num_rows:
@@ -186,7 +186,7 @@ def with_scores(documents: DataFrame, model: Neighbours, name: str) -> DataFrame
                     [*part.columns, pa.array(own.scores(part.column("text")), pa.float64())], [*part.schema.names, name]
                 )
 
-    return documents.mapInArrow(score, fields)
+    return documents.mapInArrow(tidy(score), fields)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -23,6 +24,19 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def tidy(function):
+    """A function over batches that gives its memory back when it ends: Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def pieces(text: bytes, unit: re.Pattern, size: int = SLICE_BYTES) -> Iterator[bytes]:
     """A text in pieces of about `size` bytes that cut no run of `unit` (one byte of a run)."""
     first = 0
