@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.llm.suffix_dedup import keyed_texts
-from seamline.llm.texts import RangeHash, free_name, mixed, text_slices, utf8_bytes, word_ranges
+from seamline.llm.texts import RangeHash, free_name, mixed, small_batches, text_slices, tidy, utf8_bytes, word_ranges
 from seamline.work import written
 
 #: Items of a block, which goes to every task; with an average of over 500 characters there are more blocks.
@@ -306,7 +306,7 @@ def found_rows(documents: DataFrame, benchmark: DataFrame, share: float, repetit
         shared = documents.sparkSession.sparkContext.broadcast(
             (listed.column("item_id").to_pylist(), listed.column("text").to_pylist())
         )
-        part = rows.mapInArrow(finder(shared, share, repetitions), _FOUND)
+        part = rows.mapInArrow(tidy(finder(shared, share, repetitions)), _FOUND)
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -334,7 +334,8 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, share: float = ED
     A row is told by doc_id (null is a value like others) and text, so a clean
     text stays though another row of its doc_id goes.
     """
-    found = written(found_rows(documents, benchmark, share).select("doc_id", "text_hash").distinct())
+    with small_batches(documents.sparkSession):
+        found = written(found_rows(documents, benchmark, share).select("doc_id", "text_hash").distinct())
     doc, text_hash = (free_name(documents.columns, n) for n in ("found_doc", "found_hash"))
     own = found.toDF(doc, text_hash)
     same = documents["doc_id"].cast("bigint").eqNullSafe(own[doc]) & (F.xxhash64(documents["text"]) == own[text_hash])

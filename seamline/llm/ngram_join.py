@@ -20,7 +20,6 @@ shingles gives a valid order, so they may come from counts inside tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.llm.components import components
-from seamline.llm.texts import mixed, text_slices, tidy, utf8_bytes, word_hashes
+from seamline.llm.texts import mixed, small_batches, text_slices, tidy, utf8_bytes, word_hashes
 from seamline.work import written
 
 #: At most so many shingles are moved to the end of the order; their hashes (8 bytes each) are broadcast.
@@ -36,27 +35,9 @@ FREQUENT = 1 << 16
 #: Shingles that a task remembers before it passes on those that it has met twice.
 COUNTED = 1_000_000
 
-#: Texts, whole sets and prefixes go to the tasks in batches of so many rows and bytes.
-ROWS_AT_ONCE = 500
-_BATCH_BYTES = 4 << 20
-
 _WEIGHTS = [mixed(np.array([i + 1], np.uint64))[0] for i in range(64)]
 
 
-@contextmanager
-def small_batches(spark):
-    """Rows that carry texts or whole sets are long: what is written inside sends few of them to Python at once."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_AT_ONCE, "spark.sql.execution.arrow.maxBytesPerBatch": _BATCH_BYTES}
-    before = {name: spark.conf.get(name) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, str(value))
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-
-
 @dataclass(frozen=True)
 class Similarity:
     """Shingles of `width` words; sets are similar when 100 |A & B| >= percent |A | B|."""

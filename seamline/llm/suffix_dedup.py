@@ -29,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seamline.llm.texts import RangeHash, free_name, text_slices, utf8_bytes
+from seamline.llm.texts import RangeHash, free_name, small_batches, text_slices, tidy, utf8_bytes
 from seamline.work import written
 
 LENGTH = 400
 KEY = 100
+#: Finding runs takes some 50 times the bytes of a slice; one longer text is a slice of its own.
+RUN_BYTES = 250_000
 PERIOD = 32
 #: Ranks of sampled places reach so far: PERIOD doubled three times.
 REACH = 256
@@ -91,7 +93,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, most=RUN_BYTES):
             data, offsets = utf8_bytes(part.column("text"))
             text, first, counts, place, anchor, prints = anchor_runs(data, offsets)
             at = pa.array(text)
@@ -180,8 +182,13 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, found: per document with repeats, its runs of starts (start, n_starts, mask; no mask: all repeated)."""
+    with small_batches(documents.sparkSession):
+        return _repeated_ranges(documents)
+
+
+def _repeated_ranges(documents: DataFrame) -> DataFrame:
     keyed = keyed_texts(documents)
-    runs = written(keyed.mapInArrow(find_runs, RUNS))
+    runs = written(keyed.mapInArrow(tidy(find_runs), RUNS))
     shared = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     runs = written(runs.join(shared, "anchor"))
     # One row for each text of a segment: how often it occurs, and one place to read it from.
@@ -200,7 +207,7 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     cold = segments.where(F.col("kinds") <= HOT).drop("kinds")
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     masks = cold.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        sort_buckets, "anchor bigint, lead int, print bigint, n_starts int, mask binary"
+        tidy(sort_buckets), "anchor bigint, lead int, print bigint, n_starts int, mask binary"
     )
     masks = written(masks.unionAll(hot_masks(segments.where(F.col("kinds") > HOT).drop("kinds"))))
     # Segments that occur more than once are repeated whole, whatever else is in the bucket.
@@ -232,7 +239,7 @@ def hot_masks(segments: DataFrame) -> DataFrame:
                 )
 
     schema = "anchor bigint, lead int, print bigint, n_starts int, own int, whole bigint, half bigint"
-    rows = written(segments.mapInArrow(suffixes, schema))
+    rows = written(segments.mapInArrow(tidy(suffixes), schema))
     key = ["anchor", "whole", "half"]
     twice = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     starts = rows.join(twice, key).groupBy("anchor", "lead", "print", "n_starts").agg(F.collect_set("own").alias("owns"))
@@ -303,7 +310,7 @@ def remove_repeats(documents: DataFrame, made: tuple[str, str, str, str] = MADE)
                     [*(part.column(c) for c in columns), *results], [*columns, *made]
                 )
 
-    return joined.mapInArrow(cut, out)
+    return joined.mapInArrow(tidy(cut), out)
 
 
 def dedup_digests(documents: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import ctypes
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 
 #: A task works on about so many bytes of text at once; one longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
+#: Texts, whole sets and prefixes go to the tasks in batches of so many rows and bytes, where memory is short.
+ROWS_AT_ONCE = 500
+_BATCH_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -24,6 +28,20 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+@contextmanager
+def small_batches(spark):
+    """Rows that carry texts or whole sets are long: what is written inside sends few of them to Python at once."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": ROWS_AT_ONCE, "spark.sql.execution.arrow.maxBytesPerBatch": _BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def tidy(function):
     """A function over batches that gives its memory back when it ends: Python workers outlive their tasks."""
 
