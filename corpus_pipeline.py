@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import seamline
 from seamline.functions.text import decode_utf8
 from seamline.llm import bpe, decontamination, ngram_join, quality_knn, suffix_dedup
-from seamline.llm.texts import free_name
+from seamline.llm.texts import free_name, small_batches
 from seamline.work import written
 
 cloudpickle.register_pickle_by_value(seamline)
@@ -72,7 +72,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed, little-endian unsigned 32-bit) and the text decoded from them."""
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, TOKENIZER), TOKENIZER)
+    # Written in between, so that a task needs one Python worker at a time.
+    with small_batches(spark):
+        encoded = written(bpe.encode_documents(docs, TOKENIZER))
+    decoded = bpe.decode_documents(encoded, TOKENIZER)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "text")
 
 
