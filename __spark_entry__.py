@@ -35,7 +35,8 @@ from seamline.operators.chunking import chunk_lines, count_chunks
 from seamline.operators.files import keep_files
 from seamline.operators.ids import assign_vector_ids
 from seamline.operators.probe import assign_lists, top_k_probe
-from seamline.operators.topk import top_k, top_k_single
+from seamline.operators.intervals import as_intervals
+from seamline.operators.topk import top_k, top_k_single, top_k_without
 from seamline.operators.vectors import add_vectors, cut_vectors, delete_vectors
 from seamline.params import IndexParams
 from seamline.plans.compact_job import compact_index, drop_old_parts
@@ -307,6 +308,20 @@ def topk_probe(spark, sf_dir):
     return hits.withColumn("score", F.round("score", 4))
 
 
+def topk_blocks(spark, sf_dir):
+    """`topk_batch` with queries in many blocks, dealt out as a grid with the vectors."""
+    vectors = embeddings(spark, sf_dir)
+    return top_k(as_queries(vectors), vectors, K, 64, block_rows=100).withColumn("score", F.round("score", 4))
+
+
+def topk_dead(spark, sf_dir):
+    """`topk_live` by leaving out, while vectors are read, the intervals of the ids that are not live."""
+    vectors = embeddings(spark, sf_dir, 32)
+    gone = vectors.select("vector_id").join(live_ids(spark, sf_dir), "vector_id", "left_anti")
+    hits = top_k_without(as_queries(vectors), vectors, as_intervals(gone), K, 32, at_once=100)
+    return hits.withColumn("score", F.round("score", 4))
+
+
 def delete_vectors_query(spark, sf_dir):
     """Without the vectors whose document is labelled toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -469,6 +484,17 @@ def index_search(spark, sf_dir):
     return hit_ops.json_rows(results)
 
 
+def index_lists(spark, sf_dir):
+    """Search of the index after both runs, by inverted lists made between them; all lists are probed."""
+    docs = spread_documents(spark, sf_dir)
+    params = IndexParams(embedding_dim=STORE_DIM, chunk_size_lines=8, chunk_overlap_lines=2)
+    store = IndexStore(spark, work_folder(spark)).create(params)
+    index_files(store, TableSource(stored_state(docs)))
+    compact_index(store, n_lists=8)
+    index_files(store, TableSource(current_state(docs)))
+    return hit_ops.json_rows(search_index(store, text_queries(spark, sf_dir), K, n_probe=8))
+
+
 def compact_index_query(spark, sf_dir):
     """Chunks in use after both runs and a compaction that drops the older parts."""
     store = two_runs(spark, sf_dir)
@@ -513,12 +539,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def llm_parts():
-    """The modules of the training-data operators, if they are there."""
+    """The modules of the training-data operators, if they are there; any other import that fails is an error."""
     try:
         from seamline.llm import queries as registered_llm, sql
 
         import corpus_pipeline
-    except ImportError:
+    except ModuleNotFoundError as error:
+        if error.name not in ("seamline.llm", "seamline.llm.queries", "corpus_pipeline"):
+            raise
+        return None
+    except ImportError as error:
+        # An empty folder that is left behind is a package without modules.
+        if error.name != "seamline.llm":
+            raise
         return None
     return registered_llm, sql, corpus_pipeline
 
@@ -549,6 +582,8 @@ def own_queries() -> dict[str, Query]:
         "topk_live": topk_live,
         "topk_all_slots": topk_all_slots,
         "topk_probe": topk_probe,
+        "topk_blocks": topk_blocks,
+        "topk_dead": topk_dead,
         "delete_vectors": delete_vectors_query,
         "plan_changes": plan_changes,
         "run_stats": run_stats,
@@ -568,6 +603,7 @@ def own_queries() -> dict[str, Query]:
         "search_text": search_text,
         "index_two_runs": index_two_runs,
         "index_search": index_search,
+        "index_lists": index_lists,
         "compact_index": compact_index_query,
         "index_stats": index_stats_query,
         "relative_paths": relative_paths,

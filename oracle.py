@@ -181,6 +181,8 @@ def statements() -> dict[str, str]:
             SELECT rank, vector_id, round(score, 4) + 0.0 AS score FROM ({ranked(
                 "SELECT 0 AS query_id, vector_id, list_inner_product(embedding, q) AS score FROM vectors, asked")})""",
         "topk_batch": f"WITH {vectors(64)} {SCORED} FROM ({ranked(pairs())})",
+        "topk_blocks": f"WITH {vectors(64)} {SCORED} FROM ({ranked(pairs())})",
+        "topk_dead": f"WITH {vectors(32)} {SCORED} FROM ({ranked(pairs(f'b.vector_id IN {LIVE}'))})",
         "topk_live": f"WITH {vectors(32)} {SCORED} FROM ({ranked(pairs(f'b.vector_id IN {LIVE}'))})",
         "topk_all_slots": f"WITH {vectors(32)} {SCORED} FROM ({ranked(pairs())}) WHERE vector_id IN {LIVE}",
         "topk_probe": f"""WITH {vectors(32)},
@@ -256,6 +258,9 @@ def statements() -> dict[str, str]:
         "relative_paths": f"""SELECT doc_id, CASE WHEN lang = 'en' THEN {OLD_PATH} END AS path FROM documents""",
         "result_json": f"""WITH {VECTOR_HITS} SELECT query_id, rank, path AS file_path, start_line, end_line,
             round(score, 4) + 0.0 AS score, language, text AS content FROM found""",
+        "index_lists": f"""WITH {TWO_RUNS}, {text_hits("live", 128)}
+            SELECT query_id, rank, path AS file_path, start_line, end_line, round(score, 4) + 0.0 AS score,
+            'python' AS language, text AS content FROM hits JOIN live USING (vector_id)""",
         "index_search": f"""WITH {TWO_RUNS}, {text_hits("live", 128)}
             SELECT query_id, rank, path AS file_path, start_line, end_line, round(score, 4) + 0.0 AS score,
             'python' AS language, text AS content FROM hits JOIN live USING (vector_id)""",
