@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamline.llm.components import components
 from seamline.llm.texts import mixed, small_batches, text_slices, tidy, utf8_bytes, word_hashes
-from seamline.work import written
+from seamline.work import discard, written
 
 #: At most so many shingles are moved to the end of the order; their hashes (8 bytes each) are broadcast.
 FREQUENT = 1 << 16
@@ -253,12 +253,14 @@ class Join:
         ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
         known = written(self.described.where("n > 0").select("doc_id", "n", "prefix").join(ids, "doc_id", "left_semi"))
         both = pairs.join(known.toDF("x", "n", "p"), "x").join(known.toDF("y", "m", "q"), "y")
-        return both.select("x", "y", "n", "m", "p", "q").mapInArrow(tidy(bound), "x bigint, y bigint").distinct()
+        able = written(both.select("x", "y", "n", "m", "p", "q").mapInArrow(tidy(bound), "x bigint, y bigint").distinct())
+        discard(known)
+        return able
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """Similar ones of pairs of members (x, y), with the size of intersection and union."""
         pairs = written(pairs.where("x <> y").distinct())
-        pairs = written(self._possible(pairs))
+        pairs = self._possible(pairs)
         wanted = pairs.select(F.col("x").alias("doc_id")).unionAll(pairs.select(F.col("y").alias("doc_id"))).distinct()
         width, percent = self.rule.width, self.rule.percent
 
@@ -290,7 +292,9 @@ class Join:
 
         both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("own").alias("one")), "x")
         both = both.join(sets.select(F.col("doc_id").alias("y"), F.col("own").alias("two")), "y").select("x", "y", "one", "two")
-        return written(both.mapInArrow(tidy(compare), "a bigint, b bigint, common bigint, either bigint"))
+        found = written(both.mapInArrow(tidy(compare), "a bigint, b bigint, common bigint, either bigint"))
+        discard(sets)
+        return found
 
     def inside_pairs(self) -> DataFrame:
         """Members of a group with the group's first member."""

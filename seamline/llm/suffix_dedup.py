@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.llm.texts import RangeHash, free_name, small_batches, text_slices, tidy, utf8_bytes
-from seamline.work import written
+from seamline.work import discard, written
 
 LENGTH = 400
 KEY = 100
@@ -188,9 +188,10 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
 
 def _repeated_ranges(documents: DataFrame) -> DataFrame:
     keyed = keyed_texts(documents)
-    runs = written(keyed.mapInArrow(tidy(find_runs), RUNS))
+    everything = runs = written(keyed.mapInArrow(tidy(find_runs), RUNS))
     shared = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     runs = written(runs.join(shared, "anchor"))
+    discard(everything)
     # One row for each text of a segment: how often it occurs, and one place to read it from.
     segment = ["anchor", "lead", "print", "n_starts"]
     place = F.struct("doc_id", "text_hash", "start")
@@ -215,7 +216,10 @@ def _repeated_ranges(documents: DataFrame) -> DataFrame:
     results = results.select(*segment, F.when(F.col("n") > 1, None).otherwise(F.col("mask")).alias("mask"), (F.col("n") > 1).alias("whole"))
     results = results.where("whole or mask is not null").drop("whole")
     found = runs.join(results, segment).select("doc_id", "text_hash", F.struct("start", "n_starts", "mask").alias("run"))
-    return written(found.groupBy("doc_id", "text_hash").agg(F.collect_set("run").alias("found")))
+    found = written(found.groupBy("doc_id", "text_hash").agg(F.collect_set("run").alias("found")))
+    for read_out in (runs, kinds, segments, masks):
+        discard(read_out)
+    return found
 
 
 def hot_masks(segments: DataFrame) -> DataFrame:
