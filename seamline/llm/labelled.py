@@ -12,29 +12,34 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def sampled_ids(labelled: DataFrame, per_label: int, most_labels: int) -> DataFrame:
+#: The range of hashes a label's rows are drawn from is cut into so many parts; a sample ends with a whole part.
+PARTS = 256
+
+
+def sampled_ids(labelled: DataFrame, per_label: int, most_rows: int) -> DataFrame:
     """At most `per_label` rows of each label (doc_id, label), chosen by a hash of the id.
 
-    Only the `most_labels` most frequent labels count. The hash threshold that a
-    label's count gives cuts the rows down before any are ordered, so no task
-    orders more than about the sample itself. The result is written: it has at
-    most per_label x most_labels rows and may be broadcast.
+    With more labels than `most_rows` / `per_label` each gets fewer rows, one at
+    least; with more than `most_rows` labels the most frequent ones count. One
+    scan meets the thresholds of all labels, at most `most_rows` of them. Rows
+    below a label's threshold are counted by parts of the hash range, and whole
+    parts are taken while they fit (the first in any case), so nothing orders
+    the rows of a label. The result is written and may be broadcast.
     """
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
-    by_size = Window.orderBy(F.desc("n"), "label")
-    kept = counts.withColumn("at", F.row_number().over(by_size)).where(F.col("at") <= most_labels)
-    sizes = {row["label"]: row["n"] for row in kept.select("label", "n").collect()}
-    chosen = None
-    for label, n in sorted(sizes.items()):
-        share = min(1.0, (1.2 * per_label + 50) / n)
-        some = labelled.where(
-            (F.col("label") == label) & (F.xxhash64("doc_id").bitwiseAND((1 << 40) - 1) <= int(share * (1 << 40)))
-        )
-        chosen = some if chosen is None else chosen.unionAll(some)
-    if chosen is None:
-        return written(labelled.limit(0))
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return written(chosen.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= per_label).drop("at"))
+    counts = written(labelled.where("label is not null").groupBy("label").agg(F.count("*").alias("n")))
+    n_labels = counts.count()
+    per = max(1, min(per_label, most_rows // max(n_labels, 1)))
+    if n_labels > most_rows:
+        counts = counts.orderBy(F.desc("n"), "label").limit(most_rows)
+    whole = 1 << 40
+    below = (F.least(F.lit(1.0), F.lit(1.2 * per + 50) / F.col("n")) * whole).cast("bigint").alias("below")
+    rows = labelled.select("doc_id", "label", F.xxhash64("doc_id").bitwiseAND(whole - 1).alias("place"))
+    rows = rows.join(F.broadcast(counts.select("label", below)), "label").where("place < below")
+    near = written(rows.select("doc_id", "label", F.expr(f"place * {PARTS} div below").alias("part")).distinct())
+    up_to = F.sum("n").over(Window.partitionBy("label").orderBy("part"))
+    parts = near.groupBy("label", "part").agg(F.count("*").alias("n")).withColumn("up_to", up_to)
+    last = parts.where((F.col("up_to") <= per) | (F.col("up_to") == F.col("n"))).groupBy("label").agg(F.max("part").alias("last"))
+    return written(near.join(F.broadcast(last), "label").where("part <= last").select("doc_id", "label"))
 
 
 def binary_labels(labels: DataFrame, column: str, held_out: int) -> DataFrame:

@@ -19,27 +19,33 @@ from pyspark.sql import DataFrame, functions as F
 from seamline.llm.labelled import fold, sampled_ids, sampled_texts, summed
 from seamline.llm.texts import text_slices
 
+#: Hashed features, and weights (features x languages) of a model: with many languages it has fewer features.
 BITS = 14
-N_FEATURES = 1 << BITS
+MOST_WEIGHT_BITS = 24
 UNKNOWN = "und"
 HELD_OUT = 2
 
-#: Bounds of the fit: sampled documents per language, languages (the most frequent).
+#: Bounds of the fit: sampled documents per language, and of all languages together.
 PER_LANGUAGE = 400
-LANGUAGES = 200
+SAMPLE = 80_000
 
 EPOCHS = 5
 #: FTRL: learning rate, its smoothing, and the penalties on |w| and w^2.
 ALPHA, BETA, LASSO, RIDGE = 0.5, 1.0, 0.02, 0.05
 
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
-_SHIFT = np.uint32(32 - BITS)
+
+
+def feature_bits(n_languages: int) -> int:
+    """How many bits name a feature, so that the weights of all languages keep to their bound."""
+    return min(BITS, MOST_WEIGHT_BITS - max(n_languages - 1, 0).bit_length())
 
 
 class Features:
     """n-gram counts of texts; keeps a table of which characters are letters."""
 
-    def __init__(self):
+    def __init__(self, bits: int = BITS):
+        self.size, self.shift = 1 << bits, np.uint32(32 - bits)
         self.letter = np.array([chr(c).isalpha() for c in range(0x110000)])
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -54,7 +60,7 @@ class Features:
         one = codes * _MULTIPLIERS[0]
         two = (one[:-1] ^ one[1:] << np.uint32(7) ^ np.uint32(1)) * _MULTIPLIERS[1]
         three = (two[:-1] ^ one[2:] << np.uint32(13) ^ np.uint32(2)) * _MULTIPLIERS[2]
-        every = np.bincount(np.concatenate((one, two, three)) >> _SHIFT, minlength=N_FEATURES)
+        every = np.bincount(np.concatenate((one, two, three)) >> self.shift, minlength=self.size)
         at = np.flatnonzero(every)
         return at, every[at]
 
@@ -66,14 +72,17 @@ def tf_idf(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Weights, at most N_FEATURES x LANGUAGES, and what goes with them."""
+    """Weights, at most 2 ** MOST_WEIGHT_BITS, and what goes with them."""
 
     languages: list[str] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((N_FEATURES, 0), np.float32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, 0), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    idf: np.ndarray = field(default_factory=lambda: np.ones(N_FEATURES))
+    idf: np.ndarray = field(default_factory=lambda: np.ones(1 << BITS))
     temperature: float = 1.0
 
+    def features(self) -> Features:
+        return Features(len(self.idf).bit_length() - 1)
+
     def logits(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         return values @ self.weights[at] + self.bias
 
@@ -115,38 +124,40 @@ def fitted_temperature(logits: np.ndarray, targets: np.ndarray) -> float:
     return float(grid[int(np.argmin(losses))])
 
 
-def feature_counts(training: DataFrame) -> np.ndarray:
+def feature_counts(training: DataFrame, bits: int) -> np.ndarray:
     """In how many of all training documents each feature occurs; at the end, their number."""
+    size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total = Features(), np.zeros(N_FEATURES + 1)
+        features, total = Features(bits), np.zeros(size + 1)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 found = features.counts(text or "")
                 if found:
                     total[found[0]] += 1
-                total[N_FEATURES] += 1
+                total[size] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
-    return np.array(summed(training.select("text").mapInArrow(count, "term int, n double"), N_FEATURES + 1))
+    return np.array(summed(training.select("text").mapInArrow(count, "term int, n double"), size + 1))
 
 
 def fit_languages(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from texts and non-null languages outside the held-out fold.
 
     Document counts cover all of these; weights are fitted on at most
-    `per_language` documents of each of the `LANGUAGES` most frequent languages.
+    `per_language` documents of each language and about `SAMPLE` documents of all.
     """
     doc_id = F.col("doc_id").cast("bigint")
     training = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(doc_id, 4) != HELD_OUT))
     training = training.select(doc_id.alias("doc_id"), "text", F.col("lang").cast("string").alias("label"))
-    counted = feature_counts(training)
+    ids = sampled_ids(training.select("doc_id", "label"), per_language, SAMPLE).dropDuplicates(["doc_id"])
+    bits = feature_bits(ids.select("label").distinct().count())
+    counted = feature_counts(training, bits)
     idf = np.log((counted[-1] + 1) / (counted[:-1] + 1)) + 1
-    ids = sampled_ids(training.select("doc_id", "label"), per_language, LANGUAGES).dropDuplicates(["doc_id"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = Features(bits)
         for batch in batches:
             for part in text_slices(batch):
                 found = [features.counts(text or "") for text in part.column("text").to_pylist()]
@@ -158,7 +169,7 @@ def fit_languages(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Lan
                 )
 
     sample = sampled_texts(training.drop("label"), ids).mapInArrow(rows, "doc_id bigint, label string, at binary, n binary")
-    # Bounded by the parameters: per_language x LANGUAGES documents of at most N_FEATURES features.
+    # Bounded by the parameters: SAMPLE documents of at most 2 ** BITS features.
     table = sample.where(F.col("at").isNotNull()).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").to_pylist()
     languages = sorted({row["label"] for row in table})
     if not languages:
@@ -169,7 +180,7 @@ def fit_languages(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Lan
         examples.append((at, tf_idf(at, np.frombuffer(row["n"], np.int32), idf), languages.index(row["label"])))
     order = np.random.default_rng(7).permutation(len(examples))
     held = set(order[: len(order) // 5].tolist()) if len(order) >= 20 else set()
-    leader = Leader(N_FEATURES, len(languages))
+    leader = Leader(1 << bits, len(languages))
     for _ in range(EPOCHS):
         for i in order:
             if int(i) not in held:
@@ -193,7 +204,8 @@ def predict_languages(documents: DataFrame, per_language: int = PER_LANGUAGE) ->
     shared = documents.sparkSession.sparkContext.broadcast(state)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, features = LanguageModel(*shared.value), Features()
+        own = LanguageModel(*shared.value)
+        features = own.features()
         for batch in batches:
             for part in text_slices(batch):
                 names, scores = [], []

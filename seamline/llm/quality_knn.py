@@ -150,7 +150,7 @@ def fit_neighbours(documents: DataFrame, labels: DataFrame, per_label: int = PER
         raise ValueError(f"per_label must be below {1 << SAMPLE_BITS - 1}")
     counted = document_counts(documents)
     idf = (np.log((counted[-1] + 1) / (counted[:-1] + 1)) + 1).astype(np.float32)
-    ids = sampled_ids(binary_labels(labels, "quality", HELD_OUT), per_label, 2)
+    ids = sampled_ids(binary_labels(labels, "quality", HELD_OUT), per_label, 2 * per_label)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seamline.llm import divergence, merkle
+from seamline.llm import divergence, merkle, ngram_join as ngram_join_operator
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Levels of a tree that the SQL spells out, enough for 8^8 leaves.
@@ -85,6 +85,25 @@ def merkle_manifest() -> str:
     )
 
 
+def ngram_join() -> str:
+    rule = ngram_join_operator.Similarity()
+    shingle = " || ' ' || ".join(["w[i]", *(f"w[i + {k}]" for k in range(1, rule.width))])
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {rule.width} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {rule.width - 2}), lambda i: {shingle}) END) AS s
+  FROM docs
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {rule.percent} * (x.n + y.n - c)),
+reached AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+classes AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM docs d LEFT JOIN sizes s USING (doc_id) LEFT JOIN classes c USING (doc_id)
+"""
+
+
 def source_divergence() -> str:
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
@@ -122,4 +141,4 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 
 def statements() -> dict[str, str]:
-    return {"op12_merkle_manifest": merkle_manifest(), "op13_source_divergence": source_divergence()}
+    return {"op1_ngram_join": ngram_join(), "op12_merkle_manifest": merkle_manifest(), "op13_source_divergence": source_divergence()}

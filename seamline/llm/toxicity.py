@@ -132,7 +132,7 @@ def fit_lexicon(documents: DataFrame, labels: DataFrame, per_label: int = PER_LA
     A word counts once per label and word before it: copies of a document add
     nothing, and a word that toxic texts use has many neighbours.
     """
-    ids = sampled_ids(binary_labels(labels, "toxic", HELD_OUT), per_label, 2)
+    ids = sampled_ids(binary_labels(labels, "toxic", HELD_OUT), per_label, 2 * per_label)
     sizes = {row["label"]: row["n"] for row in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:

@@ -492,12 +492,39 @@ def test_neighbour_vote_is_exact():
 
 
 def test_sample_bounds(spark):
-    rows = [(i, "a" if i % 10 else "b") for i in range(3000)]
-    ids = labelled.sampled_ids(spark.createDataFrame(rows, "doc_id bigint, label string"), 40, 1).collect()
-    assert len(ids) <= 40 and {r.label for r in ids} == {"a"}
+    rows = [(i, "a" if i % 10 else "b") for i in range(3000)] + [(i, "rare") for i in range(3000, 3007)]
+    rows += [(9, None), (9, "a"), (9, "a")]
+    table = spark.createDataFrame(rows, "doc_id bigint, label string")
+    counts = Counter(r.label for r in labelled.sampled_ids(table, 40, 120).collect())
+    assert counts["rare"] == 7 and 36 <= counts["a"] <= 40 and 36 <= counts["b"] <= 40
+    few = Counter(r.label for r in labelled.sampled_ids(table, 40, 30).collect())
+    assert set(few) == {"a", "b", "rare"} and sum(few.values()) <= 30
+    assert {r.label for r in labelled.sampled_ids(table, 40, 1).collect()} == {"a"}
+    copies = spark.createDataFrame([(1, "a")] * 60, "doc_id bigint, label string")
+    assert labelled.sampled_ids(copies, 40, 40).collect() == [(1, "a")]
     assert labelled.sampled_ids(spark.createDataFrame([], "doc_id bigint, label string"), 40, 2).count() == 0
 
 
+def test_one_scan_for_any_number_of_languages(spark, tmp_path):
+    rows = [(i, f"l{i % 150}") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id bigint, label string").write.parquet(f"{tmp_path}/labelled")
+    table = spark.read.parquet(f"{tmp_path}/labelled")
+    assert len({r.label for r in labelled.sampled_ids(table, 5, 750).collect()}) == 150
+    assert language_id.feature_bits(4) == language_id.BITS and language_id.feature_bits(1024) == 14
+    assert all(n << language_id.feature_bits(n) <= 1 << language_id.MOST_WEIGHT_BITS for n in (0, 1, 5, 1025, 80_000))
+
+
+def test_many_languages(spark):
+    rng = random.Random(4)
+    names = [f"l{i}" for i in range(230)]
+    sounds = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(3)] for n in names}
+    rows = [(i, " ".join("".join(rng.choices(sounds[n], k=2)) for _ in range(15)), n) for i, n in enumerate(names * 8)]
+    found = language_id.predict_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    truth = {i: n for i, _, n in rows}
+    held = [r for r in found if r.held_out]
+    assert len({r.lang_pred for r in found}) > 200 and sum(r.lang_pred == truth[r.doc_id] for r in held) > 0.8 * len(held)
+
+
 # -- 8: quality rules -------------------------------------------------------------
 
 
