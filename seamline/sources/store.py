@@ -15,7 +15,7 @@ writer was ahead of, leaves folders that nobody reads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seamline.operators.intervals import Dead, without
 from seamline.params import IndexParams, load_params, save_params
@@ -36,19 +36,30 @@ CENTROIDS = "list_id bigint, embedding array<float>"
 COUNTERS = ("new_files", "updated_files", "skipped_files", "deleted_files", "total_chunks")
 NO_LIST = -1
 ID_BLOCK = 1 << 22
-_PRUNE_BLOCKS = 1000
-_PRUNE_IDS = 1000
-_RANGE_GAP = 4096
-
-
-def _in_ranges(ids: list[int]):
-    """A condition on id_block and vector_id that holds for these ids; close ones share a range."""
-    ranges: list[list[int]] = []
-    for i in ids:
-        if ranges and i - ranges[-1][1] <= _RANGE_GAP and i // ID_BLOCK == ranges[-1][0] // ID_BLOCK:
-            ranges[-1][1] = i
-        else:
-            ranges.append([i, i])
+_MOST_RANGES = 1000
+_LEAST_RANGE = 4096
+
+
+def _few_ranges(ids: DataFrame) -> list[tuple[int, int]] | None:
+    """Some `_MOST_RANGES` ranges of ids, each inside one block, that hold all of `ids`; None if more blocks are hit.
+
+    Ids that agree when divided by a width share a range. The width is the least
+    power of two that gives few ranges, as estimated in one pass without a shuffle
+    of ids; each range is then as tight as the ids in it.
+    """
+    widths = [ID_BLOCK]
+    while widths[-1] % 2 == 0 and widths[-1] // 2 >= _LEAST_RANGE:
+        widths.append(widths[-1] // 2)
+    counted = ids.agg(*[F.approx_count_distinct(F.expr(f"vector_id div {w}")) for w in widths]).first()
+    width = next((w for w, n in zip(reversed(widths), reversed(counted)) if n <= _MOST_RANGES), None)
+    if width is None:
+        return None
+    ranges = ids.groupBy(F.expr(f"vector_id div {width}")).agg(F.min("vector_id").alias("low"), F.max("vector_id").alias("high"))
+    return sorted((r.low, r.high) for r in ranges.collect())
+
+
+def _in_ranges(ranges: list[tuple[int, int]]) -> Column:
+    """A condition on id_block and vector_id that holds inside these ranges."""
     inside = F.lit(False)
     for low, high in ranges:
         inside = inside | ((F.col("id_block") == low // ID_BLOCK) & F.col("vector_id").between(low, high))
@@ -124,21 +135,21 @@ class IndexStore:
         return self._table("chunks", CHUNKS)
 
     def chunks_of(self, ids: DataFrame) -> DataFrame:
-        """At least the chunks of `ids` (a written table of hits).
+        """At least the chunks of `ids` (a written table of hits), however many there are.
 
-        Few ids become ranges that parquet skips row groups by: chunks lie in id
-        order. More of them still name the id blocks to read.
+        Blocks without an id are not read. Inside a block ids become ranges that
+        parquet skips row groups by, as chunks lie in id order: narrow ranges for
+        few ids, wider ones for more. Ids in very many blocks name the blocks in a
+        join that prunes folders while it runs; its small side has one number for
+        each block of the index at most.
         """
-        few = ids.select("vector_id").distinct().limit(_PRUNE_IDS + 1).collect()
-        if len(few) <= _PRUNE_IDS:
-            return self.chunks().where(_in_ranges(sorted(r.vector_id for r in few)))
-        blocks = (
-            ids.select(F.expr(f"vector_id div {ID_BLOCK}").alias("block"))
-            .distinct().limit(_PRUNE_BLOCKS + 1).collect()
-        )
-        if len(blocks) > _PRUNE_BLOCKS:
-            return self.chunks()
-        return self.chunks().where(F.col("id_block").isin([r.block for r in blocks]))
+        ranges = _few_ranges(ids)
+        if ranges is not None:
+            return self.chunks().where(_in_ranges(ranges))
+        blocks = ids.select(F.expr(f"vector_id div {ID_BLOCK}").alias("id_block")).distinct()
+        chunks = self.chunks()
+        # Spark prunes by a joined table when that is filtered: the bound lets all rows through.
+        return chunks.join(F.broadcast(blocks.where("id_block >= 0")), "id_block", "left_semi").select(*chunks.columns)
 
     def vectors(self) -> DataFrame:
         """All vectors of committed runs, orphans included."""

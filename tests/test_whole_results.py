@@ -178,19 +178,41 @@ def test_the_model_belongs_to_the_index(spark, tmp_path):
     assert model_name(hashing_model(8)) != model_name(hashing_model(16))
 
 
-def test_hits_read_the_same_chunks_on_both_sides_of_each_limit(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("most, least", [(1000, 4096), (1000, 1), (5, 1), (3, 1), (0, 1)])
+def test_hits_read_their_blocks_alone(spark, tmp_path, monkeypatch, most, least):
     monkeypatch.setattr(store_module, "ID_BLOCK", 4)
+    monkeypatch.setattr(store_module, "_MOST_RANGES", most)
+    monkeypatch.setattr(store_module, "_LEAST_RANGE", least)
     store, _ = indexed(spark, tmp_path / "index", texts(9))
-    ids = store.chunks().select("vector_id").where("vector_id % 5 = 2")
-    want = sorted(map(tuple, store.chunks().join(ids, "vector_id").collect()))
-    for prune_ids, blocks, gap in ((1000, 1000, 0), (1000, 1000, 4096), (0, 1000, 0), (0, 1, 0)):
-        monkeypatch.setattr(store_module, "_PRUNE_IDS", prune_ids)
-        monkeypatch.setattr(store_module, "_PRUNE_BLOCKS", blocks)
-        monkeypatch.setattr(store_module, "_RANGE_GAP", gap)
-        assert sorted(map(tuple, store.chunks_of(ids).join(ids, "vector_id").collect())) == want and want
-    monkeypatch.setattr(store_module, "_PRUNE_IDS", 1000)
-    plan = store.chunks_of(ids)._jdf.queryExecution().toString()
-    assert "GreaterThanOrEqual(vector_id" in plan.split("PushedFilters")[1]
+    wanted = "vector_id % 16 in (1, 2, 9)"
+    want = sorted(map(tuple, store.chunks().where(wanted).collect()))
+    ids = written(store.chunks().select("vector_id").where(wanted))
+    # A block without a hit cannot be read any more; a search that opens it fails.
+    hit = {r.vector_id // 4 for r in ids.collect()}
+    unread = [f for f in (tmp_path / "index" / "chunks").rglob("*.parquet") if int(f.parent.name.split("=")[1]) not in hit]
+    for file in unread:
+        file.write_bytes(b"no parquet" * (file.stat().st_size // 10))
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    found = store.chunks_of(ids)
+    assert found.columns == store.chunks().columns and want and unread
+    assert sorted(map(tuple, found.where(wanted).collect())) == want
+    plan = found._jdf.queryExecution().toString()
+    assert ("dynamicpruning" in plan) == (most < 5)
+    if most >= 5:
+        assert "GreaterThanOrEqual(vector_id" in plan.split("PushedFilters")[1]
+
+
+def test_ranges_of_hits_widen_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(store_module, "ID_BLOCK", 1 << 10)
+    monkeypatch.setattr(store_module, "_LEAST_RANGE", 1 << 4)
+    monkeypatch.setattr(store_module, "_MOST_RANGES", 20)
+    few = store_module._few_ranges(spark.createDataFrame([(3,), (5,), (700,), (2000,)], "vector_id bigint"))
+    assert few == [(3, 5), (700, 700), (2000, 2000)]
+    many = store_module._few_ranges(spark.range(0, 4096, 7).withColumnRenamed("id", "vector_id"))
+    assert len(many) <= 22 and all(low // 1024 == high // 1024 for low, high in many)
+    assert {i for low, high in many for i in range(low, high + 1)} >= set(range(0, 4096, 7))
+    assert store_module._few_ranges(spark.range(0, 1 << 16, 100).withColumnRenamed("id", "vector_id")) is None
+    assert store_module._few_ranges(spark.range(0).withColumnRenamed("id", "vector_id")) == []
 
 
 def test_content_of_many_ranges_in_linear_time(spark):
