@@ -16,6 +16,7 @@ executor writes the same file. The folder must be one that all executors share.
 from __future__ import annotations
 
 import posixpath
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ END_ID = 2
 
 MANIFEST = (
     "shard int, n_docs bigint, n_tokens bigint, n_sequences bigint, tokens_file string, documents_file string, "
-    "first_batch bigint, batch_bytes bigint"
+    "first_batch bigint, batch_bytes bigint, batch_rows int"
 )
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -99,7 +100,7 @@ def write_token_files(
     each other, ordered by a hash of their text; a null doc_id comes first.
     """
     spark = documents.sparkSession
-    folder = folder or work_folder(spark)
+    folder = qualified(spark, folder or work_folder(spark))
     shared = worker_memory(documents, tokenizer_path)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -111,7 +112,7 @@ def write_token_files(
         end = np.array([end_id], encoder.kind).tobytes()
         context = TaskContext.get()
         shard = context.partitionId()
-        files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         names = [posixpath.join(root, f"{kind}-{shard:06}.arrows") for kind in ("tokens", "documents")]
         drafts = [f"{name}.{context.taskAttemptId()}" for name in names]
@@ -133,7 +134,7 @@ def write_token_files(
         encoder.known.clear()  # the worker goes on to other tasks
         for draft, name in zip(drafts, names):
             files.move(draft, name)
-        row = [shard, n_docs, tokens.n_tokens, tokens.n_sequences, *(posixpath.join(folder, posixpath.basename(n)) for n in names), tokens.first_batch, tokens.batch_bytes]
+        row = [shard, n_docs, tokens.n_tokens, tokens.n_sequences, *(posixpath.join(folder, posixpath.basename(n)) for n in names), tokens.first_batch, tokens.batch_bytes, rows]
         yield pa.RecordBatch.from_pylist([dict(zip(_names(MANIFEST), row))], schema=_MANIFEST_ARROW)
 
     ordered = (
@@ -154,9 +155,16 @@ _MANIFEST_ARROW = pa.schema([
 ])
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI: a path without a scheme is on Spark's default file system, for tasks too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def open_file(uri: str):
     """A memory map of a local file, else a seekable file of any file system that pyarrow knows."""
-    files, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    files, path = fs.FileSystem.from_uri(uri)
     return pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path)
 
 
@@ -165,15 +173,39 @@ class TokenFile:
 
     def __init__(self, tokens_file: str, first_batch: int, batch_bytes: int, rows: int = ROWS):
         self.file, self.first_batch, self.batch_bytes, self.rows = open_file(tokens_file), first_batch, batch_bytes, rows
+        self.held: tuple[int, pa.RecordBatch] | None = None
         self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.file))
 
+    def batch(self, number: int) -> tuple[pa.RecordBatch, int]:
+        """The record batch that begins `number` places after the first, and the number of its first sequence."""
+        if self.held is None or self.held[0] != number:
+            self.file.seek(self.first_batch + number * self.batch_bytes)
+            self.held = (number, pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema))
+        return self.held[1], number * self.rows
+
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids (a view of the mapped file) and the mask of sequence k."""
-        self.file.seek(self.first_batch + k // self.rows * self.batch_bytes)
-        batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
-        ids, mask = (batch.column(c)[k % self.rows].values for c in (0, 1))
+        batch, first = self.batch(k // self.rows)
+        ids, mask = (batch.column(c)[k - first].values for c in (0, 1))
         return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
+    def span(self, start: int, n: int) -> Iterator[np.ndarray]:
+        """The n ids from place `start` of the shard on, as views, one for each record batch that holds some.
+
+        A place is sequence times length: only the end of a shard is padded.
+        """
+        length = self.schema.field(0).type.list_size
+        full = self.rows * length
+        while n:
+            batch, first = self.batch(start // full)
+            at = start - first * length
+            ids, mask = (batch.column(c).flatten().slice(at, n) for c in (0, 1))
+            if not len(ids) or not (mask.true_count == len(ids)):
+                raise ValueError(f"the file ends {n} ids early, at {start}")
+            yield ids.to_numpy()
+            start += len(ids)
+            n -= len(ids)
+
     def batches(self) -> Iterator[pa.RecordBatch]:
         self.file.seek(0)
         yield from pa.ipc.open_stream(self.file)
@@ -194,37 +226,24 @@ def read_documents(manifest: DataFrame) -> DataFrame:
             for shard in batch.to_pylist():
                 yield from shard_documents(shard)
 
-    files = placed.select("shard", "start", "tokens_file", "documents_file", "first_batch", "batch_bytes").repartition(int(n), "shard")
+    files = placed.select("shard", "start", "tokens_file", "documents_file", "first_batch", "batch_bytes", "batch_rows").repartition(int(n), "shard")
     return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def shard_documents(shard: dict) -> Iterator[pa.RecordBatch]:
-    """One batch of documents after the other; the file streams past, a record batch at a time."""
-    blocks = id_blocks(TokenFile(shard["tokens_file"], shard["first_batch"], shard["batch_bytes"]))
-    ids, at, start = np.empty(0, np.uint16), 0, shard["start"]
+    """One batch of documents after the other; the ids of each are read by its place in the file of tokens."""
+    file = TokenFile(shard["tokens_file"], shard["first_batch"], shard["batch_bytes"], shard["batch_rows"])
+    place = 0
     for listed in pa.ipc.open_stream(open_file(shard["documents_file"])):
         starts, sums = [], []
         for n in listed.column("n_tokens").to_pylist():
-            starts.append(start)
-            start += n
+            starts.append(shard["start"] + place)
             crc = 0
-            while n:
-                if at == len(ids):
-                    ids, at = next(blocks), 0
-                taken = ids[at : at + n]
-                crc = zlib.crc32(taken.astype("<u4").tobytes(), crc)
-                at += len(taken)
-                n -= len(taken)
+            for ids in file.span(place, n):
+                crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
+            place += n
             sums.append(crc)
         yield pa.RecordBatch.from_arrays(
             [listed.column("doc_id"), pa.array(starts, pa.int64()), listed.column("n_tokens"), pa.array(sums, pa.int64())],
             ["doc_id", "start", "n_tokens", "ids_crc32"],
         )
-
-
-def id_blocks(file: TokenFile) -> Iterator[np.ndarray]:
-    """The ids that the mask keeps, a record batch at a time."""
-    for batch in file.batches():
-        ids, mask = (batch.column(c).flatten() for c in (0, 1))
-        mask = mask.to_numpy(zero_copy_only=False)
-        yield ids.to_numpy() if mask.all() else ids.to_numpy()[mask]
