@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -196,6 +197,22 @@ def test_token_files(messy, rows, library):
         assert sum(int(file.sequence(k)[1].sum()) for k in range(shard.n_sequences)) == shard.n_tokens
 
 
+def test_token_files_by_place(messy, spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files.TokenFile, "batches", None)  # nothing streams
+    folder = str(tmp_path / "files")
+    manifest = token_files.write_token_files(messy, PATH, folder=folder, shards=2, length=16, rows=4)
+    assert token_files.read_documents(manifest).count() == messy.count()
+    for shard in manifest.collect():
+        assert shard.tokens_file.startswith("file:///")
+        file = token_files.TokenFile(shard.tokens_file, shard.first_batch, shard.batch_bytes, shard.batch_rows)
+        all_ids = np.concatenate([file.sequence(k)[0] for k in range(shard.n_sequences)])
+        for start, n in ((0, 1), (15, 2), (63, 3), (64, 64), (5, 300), (shard.n_tokens - 1, 1), (0, shard.n_tokens)):
+            assert np.concatenate(list(file.span(start, n))).tolist() == all_ids[start : start + n].tolist()
+        assert list(file.span(7, 0)) == []
+        with pytest.raises(ValueError):
+            list(file.span(shard.n_tokens, 1) if shard.n_tokens % 64 else iter(file.span(0, shard.n_tokens + 1)))
+
+
 def test_length_histogram(messy, rows, library, spark, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK", 16)
     lengths = np.array([len(ids_of(library, t)) for _, t in rows])
@@ -569,6 +586,72 @@ def test_bands(spark):
     assert not quality_rules.quality_rules(spark.createDataFrame(rows[2:3], "doc_id bigint, text string"), strict).first().kept
 
 
+def test_fitted_bands_against_brute_force(spark):
+    """Every verdict from limits recomputed by sorting; both sides reject texts that the given limits let pass."""
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    def noise(n):
+        return " ".join("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(7)) for _ in range(n))
+
+    few = prose(60).split()
+
+    def dull(n):
+        return " ".join(rng.choice(few) for _ in range(n))
+
+    rows = [(i, prose(rng.choice((60, 130, 260, 520, 1100)))) for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(900)]  # copies do not move the limits
+    rows += [(2000 + i, noise(n)) for i, n in enumerate((130, 300, 600, 1200))]
+    rows += [(3000 + i, dull(n)) for i, n in enumerate((1100, 1200, 1300, 1400))]
+    rows += [(4000, None), (4001, ""), (None, prose(300))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    given = quality_rules.Bands()
+    measured = {r.text_hash: r for r in quality_rules.measure(table).collect()}
+    values = {}
+    for r in measured.values():
+        if not r.base_failed:
+            values.setdefault(r.n_bytes.bit_length() - 1, []).append(math.floor(r.ratio * 1000 + 0.5))
+            for ratio in r.chunks:
+                values.setdefault("chunks", []).append(math.floor(ratio * 1000 + 0.5))
+
+    def limits(own):
+        own = sorted(own)
+        low, high = (own[math.ceil(len(own) * q / 4) - 1] / 1000 for q in (1, 3))
+        reach = quality_rules.FENCE * max(high - low, quality_rules.LEAST_SPREAD) + quality_rules.UNKNOWN / math.sqrt(len(own))
+        return low - reach, high + reach
+
+    def rejected(r):
+        if r.ratio is None:
+            return False
+        low, high = next((a, b) for n, a, b in reversed(given.bands) if r.n_bytes >= n)
+        chunk_low, chunk_high = next((a, b) for n, a, b in reversed(given.bands) if given.chunk_bytes >= n)
+        bad = sum(not chunk_low <= c <= chunk_high for c in r.chunks)
+        failed = not low <= r.ratio <= high or bad > given.bad_chunks * len(r.chunks)
+        below = [k for k in values if k != "chunks" and k < r.n_bytes.bit_length()]
+        if below:
+            low, high = limits(values[max(below)])
+            failed |= not low <= r.ratio <= high
+        low, high = limits(values["chunks"])
+        return failed or sum(not low <= c <= high for c in r.chunks) > given.bad_chunks * len(r.chunks)
+
+    by_id = {r.doc_id: r for r in quality_rules.measure(table).collect()}
+    found = {r.doc_id: r for r in quality_rules.quality_rules(table).collect()}
+    assert {i: r.bands_failed for i, r in found.items()} == {i: rejected(r) for i, r in by_id.items()}
+    assert all(r.kept == (not r.base_failed and not r.bands_failed) for r in found.values())
+    assert all(found[i].kept for i in range(400))
+    wide = {r.doc_id: r for r in quality_rules.quality_rules(table, fitted=False).collect()}
+    for i in (*range(2000, 2004), *range(3000, 3004)):
+        assert found[i].bands_failed and not found[i].base_failed
+    assert any(wide[i].kept for i in range(2000, 2004)) and any(wide[i].kept for i in range(3000, 3004))
+
+
+def test_bands_where_no_text_passes_the_base_rules(spark):
+    table = spark.createDataFrame([(1, "few words"), (2, "a b c " * 100), (3, None)], "doc_id bigint, text string")
+    assert [(r.kept, r.base_failed) for r in quality_rules.quality_rules(table).collect()] == [(False, True)] * 3
+
+
 # -- texts --------------------------------------------------------------------------
 
 
