@@ -98,7 +98,7 @@ def frequent_shingles(documents: DataFrame, rule: Similarity) -> np.ndarray:
 
 
 def member_sets(documents: DataFrame, rule: Similarity, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, two signatures of the set, and its prefix in the global order."""
+    """doc_id, n, two signatures of the set, its prefix in the global order, and how many at its end are frequent."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,48 +106,45 @@ def member_sets(documents: DataFrame, rule: Similarity, frequent: np.ndarray) ->
         for batch in batches:
             for part in text_slices(batch):
                 sets = document_sets(part.column("text"), rule.width)
-                prefixes = []
+                prefixes, ends = [], []
                 for own in sets:
                     at = np.searchsorted(late, own)
                     often = late[np.minimum(at, len(late) - 1)] == own if len(late) else np.zeros(len(own), bool)
                     ordered = np.concatenate((own[~often], own[often]))
                     prefixes.append(ordered[: rule.prefix(len(own))].view(np.int64))
+                    ends.append(max(0, len(prefixes[-1]) - int((~often).sum())))
                 sums = [(int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s ^ _WEIGHTS[7]).sum(dtype=np.uint64).view(np.int64))) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
-                        pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(prefixes, pa.list_(pa.int64())), pa.array(ends, pa.int32()),
                     ],
-                    ["doc_id", "n", "s1", "s2", "prefix"],
+                    ["doc_id", "n", "s1", "s2", "prefix", "late"],
                 )
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return written(rows.mapInArrow(tidy(describe), "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>"))
+    return written(rows.mapInArrow(tidy(describe), "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, late int"))
 
 
-def most_common(p: np.ndarray, q: np.ndarray, n: int, m: int, late: np.ndarray) -> int:
-    """The most shingles that sets of n and m can share, given their prefixes in the global order.
+def most_common(p: np.ndarray, q: np.ndarray, n: int, m: int, late_p: int, late_q: int) -> int:
+    """The most shingles that sets of n and m can share, given the upper halves of their prefixes in the global order.
 
-    Up to the end of the prefix that ends first all shingles of both are known;
-    behind it at most the rest of the smaller remainder is common.
+    `late_p` and `late_q` at the ends are frequent. Before the last of the prefix
+    that ends first all shingles of both are known; from there on at most the
+    rest of the smaller remainder is common. Different shingles with one upper
+    half can only make the bound larger.
     """
+    end_late, end = min((late_p > 0, int(p[-1])), (late_q > 0, int(q[-1])))
 
-    def often(values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(late, values), max(len(late) - 1, 0))
-        return late[at] == values if len(late) else np.zeros(len(values), bool)
-
-    late_p, late_q = often(p), often(q)
-    end_late, end = min((bool(late_p[-1]), int(p[-1])), (bool(late_q[-1]), int(q[-1])))
-
-    def known(values: np.ndarray, is_late: np.ndarray) -> int:
-        split = len(values) - int(is_late.sum())
+    def known(values: np.ndarray, n_late: int) -> int:
+        split = len(values) - n_late
         if end_late:
-            return split + int(np.searchsorted(values[split:], np.uint64(end), "right"))
-        return int(np.searchsorted(values[:split], np.uint64(end), "right"))
+            return split + int(np.searchsorted(values[split:], np.uint32(end)))
+        return int(np.searchsorted(values[:split], np.uint32(end)))
 
     a, b = known(p, late_p), known(q, late_q)
-    return len(np.intersect1d(p[:a], q[:b], assume_unique=True)) + min(n - a, m - b)
+    return int(np.isin(p[:a], q[:b]).sum()) + min(n - a, m - b)
 
 
 class Join:
@@ -170,7 +167,12 @@ class Join:
         fronts = known.select(F.col("doc_id").alias("g"), "n", "prefix").join(groups.select("g", "n", "copies"), ["g", "n"])
         tokens = fronts.select("g", "n", "copies", F.posexplode("prefix").alias("pos", "shingle"))
         often = tokens.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1")
-        self.tokens = written(tokens.join(often, "shingle").drop("groups"))
+        # Size and place travel as one number.
+        packed = tokens.select("shingle", "g", "copies", (F.shiftleft("n", 31) + F.col("pos")).alias("at"))
+        kept = packed.join(often, "shingle")
+        self.tokens = written(kept.select(
+            "shingle", "g", "copies", F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).cast("int").alias("pos")
+        ))
 
     def _fits(self, n: str, m: str):
         p = self.rule.percent
@@ -233,27 +235,27 @@ class Join:
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (x, y) whose prefixes leave room for enough common shingles; whole sets travel for these only."""
-        shared = self.documents.sparkSession.sparkContext.broadcast(self.frequent)
         percent = self.rule.percent
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            late = shared.value
             for batch in batches:
                 columns = [batch.column(c) for c in ("p", "q")]
-                sizes = zip(batch.column("n").to_pylist(), batch.column("m").to_pylist())
+                sizes = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "late_p", "late_q")))
                 kept = []
-                for i, (n, m) in enumerate(sizes):
-                    p, q = (c[i].values.to_numpy().view(np.uint64) for c in columns)
-                    if most_common(p, q, n, m, late) * (100 + percent) >= (n + m) * percent:
+                for i, (n, m, *late) in enumerate(sizes):
+                    p, q = (c[i].values.to_numpy().view(np.uint32) for c in columns)
+                    if most_common(p, q, n, m, *late) * (100 + percent) >= (n + m) * percent:
                         kept.append(i)
                 at = pa.array(kept, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], ["x", "y"])
 
-        # Prefixes of the documents in pairs alone are moved to the pairs.
+        # Prefixes of the documents in pairs alone are moved to the pairs, by the upper halves of their hashes.
         ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-        known = written(self.described.where("n > 0").select("doc_id", "n", "prefix").join(ids, "doc_id", "left_semi"))
-        both = pairs.join(known.toDF("x", "n", "p"), "x").join(known.toDF("y", "m", "q"), "y")
-        able = written(both.select("x", "y", "n", "m", "p", "q").mapInArrow(tidy(bound), "x bigint, y bigint").distinct())
+        halves = F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("prefix")
+        known = self.described.where("n > 0").select("doc_id", "n", "late", halves)
+        known = written(known.join(ids, "doc_id", "left_semi"))
+        both = pairs.join(known.toDF("x", "n", "late_p", "p"), "x").join(known.toDF("y", "m", "late_q", "q"), "y")
+        able = written(both.select("x", "y", "n", "m", "late_p", "late_q", "p", "q").mapInArrow(tidy(bound), "x bigint, y bigint").distinct())
         discard(known)
         return able
 

@@ -121,6 +121,27 @@ def test_pairs_of_torn_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == dict.fromkeys(sets, 1)
 
 
+def test_bound_of_common_shingles():
+    """Never below the true number, also where many shingles have one upper half, and no better than chance without need."""
+    rng = random.Random(11)
+    useful = 0
+    for _ in range(3000):
+        high = rng.choice([3, 12, 1 << 31])
+        universe = [rng.randrange(high) << 32 | rng.randrange(1 << 32) for _ in range(rng.randint(3, 60))]
+        often = set(rng.sample(universe, rng.randint(0, len(universe) // 2)))
+        sets = [set(rng.sample(universe, rng.randint(1, len(universe)))) for _ in range(2)]
+        prefixes, late = [], []
+        for own in sets:
+            ordered = sorted(own - often) + sorted(own & often)
+            cut = ordered[: rng.randint(1, len(ordered))]
+            prefixes.append(np.array([x >> 32 for x in cut], np.uint32))
+            late.append(sum(x in often for x in cut))
+        bound = ngram_join.most_common(*prefixes, *map(len, sets), *late)
+        assert bound >= len(sets[0] & sets[1])
+        useful += bound < min(map(len, sets))
+    assert useful > 300
+
+
 def test_frequent_shingles_change_nothing(messy, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
     monkeypatch.setattr(ngram_join, "COUNTED", 50)
