@@ -36,7 +36,8 @@ CENTROIDS = "list_id bigint, embedding array<float>"
 COUNTERS = ("new_files", "updated_files", "skipped_files", "deleted_files", "total_chunks")
 NO_LIST = -1
 ID_BLOCK = 1 << 22
-_MOST_RANGES = 1000
+#: Each range is a condition of the plan, whose cost of planning grows faster than their number.
+_MOST_RANGES = 128
 _LEAST_RANGE = 4096
 
 
@@ -59,11 +60,16 @@ def _few_ranges(ids: DataFrame) -> list[tuple[int, int]] | None:
 
 
 def _in_ranges(ranges: list[tuple[int, int]]) -> Column:
-    """A condition on id_block and vector_id that holds inside these ranges."""
-    inside = F.lit(False)
+    """A condition on id_block and vector_id that holds inside these ranges.
+
+    Written as SQL, whose parser balances the tree of conditions: as a chain, the
+    conditions of some hundred ranges overflow the stack of Spark's planner.
+    """
+    blocks: dict[int, list[str]] = {}
     for low, high in ranges:
-        inside = inside | ((F.col("id_block") == low // ID_BLOCK) & F.col("vector_id").between(low, high))
-    return inside
+        blocks.setdefault(low // ID_BLOCK, []).append(f"vector_id between {low} and {high}")
+    inside = [f"(id_block = {block} and ({' or '.join(own)}))" for block, own in blocks.items()]
+    return F.expr(" or ".join(inside)) if inside else F.lit(False)
 
 
 class IndexStore:

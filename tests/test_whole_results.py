@@ -215,6 +215,15 @@ def test_ranges_of_hits_widen_with_their_number(spark, monkeypatch):
     assert store_module._few_ranges(spark.range(0).withColumnRenamed("id", "vector_id")) == []
 
 
+def test_a_thousand_ranges_of_hits(spark, monkeypatch):
+    """Many more ranges than a search asks for are planned: their conditions are no chain."""
+    monkeypatch.setattr(store_module, "ID_BLOCK", 1 << 18)
+    ranges = [(low, low + 46) for low in range(0, 1 << 20, 1 << 10)]
+    rows = spark.range(0, 1 << 20, 5).selectExpr("id as vector_id", f"id div {1 << 18} as id_block")
+    found = written(rows).where(store_module._in_ranges(ranges))
+    assert sorted(r.vector_id for r in found.collect()) == [i for low, high in ranges for i in range(low, high + 1) if i % 5 == 0]
+
+
 def test_content_of_many_ranges_in_linear_time(spark):
     n = 24_000
     found = spark.range(0, n - 8, 6).selectExpr("'f' as path", "cast(id + 1 as int) as start_line", "cast(id + 8 as int) as end_line")
