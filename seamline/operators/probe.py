@@ -138,7 +138,7 @@ def top_k_probe(
     probing = written(queries.select("query_id", "embedding").join(probes, "query_id"))
     probed = written(probing.select(F.explode("lists").alias("list_id")).distinct())
     read = probed_lists(listed.select("vector_id", "embedding", "list_id"), probed)
-    parts = dead.parts(read) if dead else [(read, None)]
+    parts = dead.parts_alive(read) if dead else [(read, None)]
     tasks = scan_tasks(listed)
     rows = rows_per_block(dim, block_rows, k=k)
     return merge_top_k(search_all(probing, parts, rows, tasks, lambda block: Probe(block, k, dim), hits_type), k, tasks * len(parts))

@@ -97,9 +97,9 @@ def top_k(
         return literal_rows(queries.sparkSession, hits_type)
     check_query_ids(queries)
     rows = rows_per_block(dim, block_rows, block_bytes, k)
-    parts = dead.parts(vectors) if dead else [(vectors, None)]
+    parts = dead.parts_alive(vectors) if dead else [(vectors, None)]
     if len(parts) == 1 and queries.count() > rows and vectors.count() <= rows:
-        return _stream_queries(queries, vectors.toArrow(), parts[0][1], k, dim, hits_type)
+        return _stream_queries(queries, parts[0][0].toArrow(), parts[0][1], k, dim, hits_type)
     tasks = scan_tasks(vectors)
     return merge_top_k(search_all(queries, parts, rows, tasks, lambda block: Scan(block, k, dim), hits_type), k, tasks * len(parts))
 
@@ -110,7 +110,7 @@ def top_k_without(
     """`top_k` over the vectors whose id is in none of the intervals `dead` (first_id, last_id).
 
     Tasks get up to `at_once` intervals; of more, those for the range of ids that
-    the task reads.
+    the task reads; very many meet the vectors in a shuffle.
     """
     return top_k(queries, vectors, k, dim, dead=Dead(dead, at_once))
 

@@ -161,6 +161,25 @@ def test_dead_vectors(spark, data, at_once, block_rows):
     assert sorted(r.vector_id for r in kept.collect()) == [i for i in range(len(vectors)) if i not in gone]
 
 
+@pytest.mark.parametrize("at_once", [1, 60])
+@pytest.mark.parametrize("block_rows", [8192, 9])
+def test_many_slices_of_dead_ids_are_one_branch(spark, data, at_once, block_rows):
+    """The plan does not grow with the intervals, also where they are long, overlap or reach over bounds."""
+    queries, vectors = data
+    spans = [(i, i) for i in range(0, 300, 2)] + [(303, 480), (470, 555), (-9, -1), (598, 900)]
+    gone = {i for a, b in spans for i in range(a, b + 1)}
+    dead = Dead(spark.createDataFrame(spans, "first_id bigint, last_id bigint").repartition(3), at_once)
+    stored = written(table(spark, vectors))
+    hits = top_k(table(spark, queries, "query_id"), stored, 5, DIM, block_rows=block_rows, dead=dead)
+    assert ranked(hits) == brute_force(queries, vectors, 5, lambda q, i: i not in gone)
+    kept = without(stored.unionAll(stored.where("vector_id in (4, 301)")), dead)
+    assert kept.columns == stored.columns
+    assert sorted(r.vector_id for r in kept.collect()) == sorted([i for i in range(len(vectors)) if i not in gone] + [301])
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 8 and (plan.count("MapInArrow") == 1) == (at_once == 1)
+    assert without(stored.limit(0), dead).isEmpty()
+
+
 def test_most_vectors_dead_take_one_scan(spark, data):
     """Each vector is read once, whatever share is dead; slices read their own range of ids."""
     queries, vectors = data
