@@ -10,6 +10,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -289,6 +290,40 @@ def test_partial_overlaps(spark):
     assert by_key(map(tuple, suffix_dedup.dedup_digests(docs).collect())) == by_key(brute_dedup(rows))
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("length, key", [(64, 16), (200, 50), (200, 120), (400, 30)])
+def test_repeats_of_other_lengths(spark, monkeypatch, length, key, hot):
+    """Pieces around the length, circular texts, and one bucket of many different segments, by any rule of bytes."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(length + key)
+    source = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    texts = []
+    for i in range(30):
+        a = rng.randrange(0, 1000)
+        piece = source[a : a + length + rng.choice([-20, -1, 0, 1, 30, 2 * length])]
+        texts.append("".join(rng.choice("ijkl ") for _ in range(rng.randrange(300))) + piece + "".join(rng.choice("mnop ") for _ in range(rng.randrange(300))))
+    texts += ["left " + "é one two. " * 150 + "right", "y" * 900, None, "", source[:length], source[: length - 1]]
+    rows = list(enumerate(texts)) + [(None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    cut = suffix_dedup.remove_repeats(docs, rule=suffix_dedup.Passages(length, key)).drop("text")
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept_bytes).hexdigest()) for r in cut.collect()]
+    assert by_key(found) == by_key(brute_dedup(rows, length))
+
+
+def test_a_segment_of_a_text_is_one_row(spark):
+    """A text that goes round in a circle has a row for each place in the circle, not for each turn."""
+    turn = "er.\nErwhre "
+    docs = spark.createDataFrame([(i, turn * n) for i, n in enumerate((100, 1000, 4000))], "doc_id bigint, text string")
+    keyed = suffix_dedup.keyed_texts(docs).select("doc_id", "text", "text_hash")
+    runs = keyed.mapInArrow(partial(suffix_dedup.find_runs, rule=suffix_dedup.Passages()), suffix_dedup.RUNS).collect()
+    for i, n in enumerate((100, 1000, 4000)):
+        own = [r for r in runs if r.doc_id == i]
+        assert len(own) < 3 * len(turn)
+        starts = sorted(s + k for r in own for s in r.starts for k in range(r.n_starts))
+        assert starts == list(range(n * len(turn) - suffix_dedup.LENGTH + 1))
+    assert by_key(map(tuple, suffix_dedup.dedup_digests(docs).collect())) == by_key(brute_dedup([(r.doc_id, r.text) for r in docs.collect()]))
+
+
 @pytest.mark.parametrize("period", [4, 7, 32, 64])
 def test_difference_cover(period):
     cover = suffix_dedup.difference_cover(period)

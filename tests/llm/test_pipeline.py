@@ -85,3 +85,25 @@ def test_near_copies_by_five_words(spark):
     assert gone == {1, 5, 9} and all(component[i] == i for i in (1, 9))
     kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert {r.doc_id for r in kept.collect()} == set(sets) - gone
+
+
+def test_passages_of_fifty_words(spark):
+    """Passages of over 50 words that repeat are cut though they have under 400 bytes; shorter ones and all else stay."""
+    rng = random.Random(31)
+    passage, short = sentence(rng, 400).split(), sentence(rng, 40)
+    passage = " ".join([w for w in passage if len(w) in (4, 6)][:56])
+    assert 250 < len(passage) < 400 and 200 < len(short) < 400
+    texts = [sentence(rng, 90) for _ in range(12)]
+    planted = {1, 4, 9}
+    own = lambda i: passage if i in planted else short if i in (2, 5) else None
+    rows = [(i, f"{t[:80]}{i:X} {own(i)} {i:X}{t[80:]}" if own(i) else t, len(t)) for i, t in enumerate(texts)]
+    rows += [(20, "字" * 140 + "1", 141), (21, "字" * 140 + "2", 141)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    found = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    for i, text, n_chars in rows:
+        if i in planted:
+            assert found[i].text == f"{texts[i][:80]}{i:X}{i:X}{texts[i][80:]}" and found[i].n_chars == len(found[i].text)
+        elif i in (20, 21):
+            assert found[i].text == text[-1]
+        else:
+            assert (found[i].text, found[i].n_chars) == (text, n_chars)
