@@ -328,14 +328,19 @@ def finder(shared, share: float, repetitions: int):
     return find
 
 
+def found_texts(documents: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+    """doc_id, text_hash (both as of `keyed_texts`) of the rows in whose text an item is found."""
+    with small_batches(documents.sparkSession):
+        return written(found_rows(documents, benchmark, share).select("doc_id", "text_hash").distinct())
+
+
 def decontaminated(documents: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """The rows of `documents`, all columns, without those in whose text an item is found.
 
     A row is told by doc_id (null is a value like others) and text, so a clean
     text stays though another row of its doc_id goes.
     """
-    with small_batches(documents.sparkSession):
-        found = written(found_rows(documents, benchmark, share).select("doc_id", "text_hash").distinct())
+    found = found_texts(documents, benchmark, share)
     doc, text_hash = (free_name(documents.columns, n) for n in ("found_doc", "found_hash"))
     own = found.toDF(doc, text_hash)
     same = documents["doc_id"].cast("bigint").eqNullSafe(own[doc]) & (F.xxhash64(documents["text"]) == own[text_hash])

@@ -87,8 +87,11 @@ def test_near_copies_by_five_words(spark):
     assert {r.doc_id for r in kept.collect()} == set(sets) - gone
 
 
-def test_passages_of_fifty_words(spark):
-    """Passages of over 50 words that repeat are cut though they have under 400 bytes; shorter ones and all else stay."""
+def test_passages_of_fifty_words(spark, tmp_path):
+    """Passages of over 50 words that repeat are cut though they have under 400 bytes; shorter ones and all else stay.
+
+    An item of the benchmark is such a passage too: documents that hold it go in the next stage.
+    """
     rng = random.Random(31)
     passage, short = sentence(rng, 400).split(), sentence(rng, 40)
     passage = " ".join([w for w in passage if len(w) in (4, 6)][:56])
@@ -98,8 +101,14 @@ def test_passages_of_fifty_words(spark):
     own = lambda i: passage if i in planted else short if i in (2, 5) else None
     rows = [(i, f"{t[:80]}{i:X} {own(i)} {i:X}{t[80:]}" if own(i) else t, len(t)) for i, t in enumerate(texts)]
     rows += [(20, "字" * 140 + "1", 141), (21, "字" * 140 + "2", 141)]
+    item = " ".join(sentence(rng, 400).split()[:56])
+    rows += [(i, f"{sentence(rng, 40)} {i} {item} {i} {sentence(rng, 40)}", 0) for i in (30, 31)]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
-    found = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    cut = corpus_pipeline.without_repeats(spark, docs, str(tmp_path))
+    found = {r.doc_id: r for r in cut.collect()}
+    clean = corpus_pipeline.without_benchmark(spark, cut, str(tmp_path))
+    assert {r.doc_id for r in clean.collect()} == set(found) - {30, 31}
     for i, text, n_chars in rows:
         if i in planted:
             assert found[i].text == f"{texts[i][:80]}{i:X}{i:X}{texts[i][80:]}" and found[i].n_chars == len(found[i].text)
